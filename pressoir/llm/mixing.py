@@ -20,7 +20,7 @@ def place(key: Column, seed: int) -> Column:
 
 
 def thresholds(docs: DataFrame, budgets: dict[tuple[int, str], int]) -> dict[tuple[int, str], int]:
-    """For each (mix, source) the largest t such that rows of the source placed below t hold at most the budget of tokens.
+    """For each (mix, source) the t such that the rows of the source placed below t hold the budget of tokens, as near as whole rows come.
 
     ``docs`` has (source, place, n). The first histogram sums the tokens by source and the leading STEP
     bits; where the running sum passes a budget lies its boundary bucket, and only boundary buckets
@@ -43,8 +43,8 @@ def thresholds(docs: DataFrame, budgets: dict[tuple[int, str], int]) -> dict[tup
             for tas, n, c in sorted(sums.get((key[1], prefix[key]), [])):
                 if n > left[key]:
                     prefix[key] = tas
-                    if c == 1 or level == BITS // STEP:  # one row, or rows that share a place: it stays out
-                        prefix[key] <<= shift
+                    if c == 1 or level == BITS // STEP:  # one row, or rows that share a place: in only where that comes nearer
+                        prefix[key] = (tas + (n - left[key] < left[key])) << shift
                         open_.discard(key)
                     break
                 left[key] -= n
@@ -58,12 +58,13 @@ def mix(docs: DataFrame, mixes: DataFrame, key: str = "doc_id", text: str = "tex
     """The drawn rows and the report of every mix.
 
     Drawn rows: (melange_id, key, source, jetons, repetitions), only those taken at least once.
-    Report: (melange_id, source, part_cible, part_reelle, jetons_source, jetons, repetitions_max, ecart).
+    Report: (melange_id, source, part_cible, part_possible, part_reelle, jetons_source, jetons, repetitions, repetitions_max);
+    part_possible is the target share among the sources that have tokens.
 
     Weights are divided by their sum over the sources that have tokens; a source that has none, or a null or negative weight,
     gets nothing and is reported with a real share of 0. A mix is made as large as its scarcest source allows: the total is the
     least of cap * size / share; a null cap is no limit, and where no source is capped each counts as capped at 1 for the total; a cap below 1 gives nothing. Each source is taken whole so many times
-    and then once more below a hash threshold, so no row exceeds the cap, and the sum falls short of its target by less than one row's tokens.
+    and then once more below a hash threshold, so no row exceeds the cap, and the sum is off its target by at most half of one row's tokens.
     Null sources belong to no mix; null and empty texts have 0 tokens. Repeated (mix, source) rows: the first by weight counts.
     """
     parts = mixes.select(F.col("melange_id").cast("int").alias("m"), F.col("source").alias("s"), F.col("poids_cible").cast("double").alias("w"), F.col("repetitions_max").cast("int").alias("cap")).where("m is not null and s is not null").limit(MOST_PARTS + 1).collect()
@@ -81,9 +82,12 @@ def mix(docs: DataFrame, mixes: DataFrame, key: str = "doc_id", text: str = "tex
     whole: dict[tuple[int, str], int] = {}
     rest: dict[tuple[int, str], int] = {}
     share: dict[tuple[int, str], float] = {}
+    aim: dict[tuple[int, str], float] = {}
     for m, sources in by_mix.items():
         able = {s: w for s, (w, cap) in sources.items() if w > 0 and size.get(s) and (cap is None or cap >= 1)}
         sum_w = sum(able.values())
+        sum_all = sum(w for w, _ in sources.values())
+        aim |= {(m, s): w / sum_all if sum_all else 0.0 for s, (w, _) in sources.items()}
         limits = [sources[s][1] * size[s] * sum_w / w for s, w in able.items() if sources[s][1] is not None] or [size[s] * sum_w / w for s, w in able.items()]
         total = min(limits, default=0.0)
         for s, w in able.items():
@@ -99,12 +103,12 @@ def mix(docs: DataFrame, mixes: DataFrame, key: str = "doc_id", text: str = "tex
     drawn = drawn.withColumn("repetitions", F.col("entier") + (F.col("place") < F.col("seuil")).cast("int")).where("repetitions > 0")
     drawn = drawn.select("melange_id", F.col("k").alias(key), "source", F.col("n").alias("jetons"), "repetitions")
     got = drawn.groupBy("melange_id", "source").agg(F.sum(F.col("jetons") * F.col("repetitions")).alias("jetons"), F.max("repetitions").alias("repetitions"))
-    asked = spark.createDataFrame([(m, s, share.get((m, s), 0.0), size.get(s) or 0, cap) for m, x in sorted(by_mix.items()) for s, (_, cap) in sorted(x.items())], "melange_id int, source string, part_cible double, jetons_source long, repetitions_max int")
+    asked = spark.createDataFrame([(m, s, aim[m, s], share.get((m, s), 0.0), size.get(s) or 0, cap) for m, x in sorted(by_mix.items()) for s, (_, cap) in sorted(x.items())], "melange_id int, source string, part_cible double, part_possible double, jetons_source long, repetitions_max int")
     report = asked.join(F.broadcast(got), ["melange_id", "source"], "left")
     taken = F.coalesce("jetons", F.lit(0))
     report = report.withColumn("somme", F.sum(taken).over(_by_mix()))
     real = F.round(F.when(F.col("somme") > 0, taken / F.col("somme")).otherwise(0.0), 6)
-    report = report.select("melange_id", "source", F.round("part_cible", 6).alias("part_cible"), real.alias("part_reelle"), "jetons_source", taken.alias("jetons"), F.coalesce("repetitions", F.lit(0)).alias("repetitions"), "repetitions_max")
+    report = report.select("melange_id", "source", F.round("part_cible", 6).alias("part_cible"), F.round("part_possible", 6).alias("part_possible"), real.alias("part_reelle"), "jetons_source", taken.alias("jetons"), F.coalesce("repetitions", F.lit(0)).alias("repetitions"), "repetitions_max")
     return drawn, report
 
 

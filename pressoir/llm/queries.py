@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import canonical, frequencies, metrics, mixing, packing, stuffing
+from . import canonical, frequencies, lookalikes, metrics, mixing, packing, stuffing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,14 @@ def p2_residuals(spark: SparkSession, d: str) -> DataFrame:
     return metrics.distinctiveness(table(spark, d, "token_metrics"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.dirty_texts(lookalikes.written_texts(table(spark, d, "articles"), table(spark, d, "requetes")))
+
+
+def p3_formes(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.consistent_texts(lookalikes.written_texts(table(spark, d, "articles"), table(spark, d, "requetes")))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     reference = table(spark, d, "rubriques_ref")
     mapped = canonical.map_rubrics(table(spark, d, "articles"), table(spark, d, "requetes"), reference)
