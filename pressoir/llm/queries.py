@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import canonical, frequencies, lookalikes, metrics, mixing, packing, stuffing
+from . import canonical, encodings, frequencies, lookalikes, metrics, mixing, packing, stuffing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return encodings.damaged_tokens(table(spark, d, "bulletins"), ["texte"], "fichier", "site").select(F.col("cle").alias("fichier")).distinct()
+
+
+def p1_repares(spark: SparkSession, d: str) -> DataFrame:
+    return encodings.repaired_texts(table(spark, d, "bulletins"), ["texte", "titre"], "fichier", "site")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return metrics.most_distinctive(metrics.distinctiveness(table(spark, d, "token_metrics")))
 
