@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import canonical, encodings, frequencies, lookalikes, metrics, mixing, packing, stuffing
+from . import boilerplate, canonical, encodings, frequencies, lookalikes, metrics, mixing, packing, stuffing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,6 +66,14 @@ def p6_ngrams(spark: SparkSession, d: str) -> DataFrame:
     return frequencies.gram_frequencies(frequencies.suffixes(asked, "query_id", "raw_query", 3), 3)
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.boilerplate_lines(table(spark, d, "bulletins"))
+
+
+def p7_corps(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.main_text(table(spark, d, "bulletins"))
+
+
 def p8_conteneurs(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"), table(spark, d, "contenants"))
 
