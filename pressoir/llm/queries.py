@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boilerplate, canonical, encodings, frequencies, lookalikes, metrics, mixing, packing, stuffing
+from . import boilerplate, canonical, encodings, frequencies, lookalikes, markup, metrics, mixing, packing, stuffing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,6 +52,14 @@ def p4_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return mapped.where("rubric_id = 0").groupBy("champ", "valeur").agg(F.count("*").alias("lignes"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return markup.marked_fields(table(spark, d, "bulletins"), ["texte", "titre"])
+
+
+def p5_propres(spark: SparkSession, d: str) -> DataFrame:
+    return markup.clean_fields(table(spark, d, "bulletins"), ["texte", "titre"])
+
+
 def p6_frequencies(spark: SparkSession, d: str) -> DataFrame:
     return frequencies.term_frequencies(table(spark, d, "token_metrics"), table(spark, d, "anti_dictionnaire"))
 
