@@ -39,6 +39,16 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, times: int = 3) -> DataFrame:
+    """A scan that Python workers will read, in at least ``times`` partitions a core.
+
+    Compressed text is small on disk and costly to read in Python: a scan is cut by its bytes, which may leave most
+    cores idle. Scans of enough partitions are left as they are.
+    """
+    least = times * df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= least else df.repartition(least)
+
+
 #: Keys that hold more than 1/HEAVY_SHARE of all rows are joined by broadcast; there are fewer than HEAVY_SHARE of them.
 HEAVY_SHARE = 500
 
