@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import join_margin, materialize
+from ..session import join_margin, materialize, spread
 
 # Encoding chains, each a list of (encoding the bytes were read in, encoding they were written in), undone from left to right.
 CHAINS: list[tuple[str, list[tuple[str, str]]]] = [
@@ -293,6 +293,7 @@ def damaged_tokens(rows: DataFrame, fields: list[str], key: str, source: str) ->
     counted = materialize(tokens.groupBy("cle", "champ", "site", "jeton").agg(F.count("*").alias("n")), "jetons")
     vocabulary = materialize(counted.groupBy("jeton").agg(F.sum("n").alias("n")), "vocabulaire")
     suspects = vocabulary.where(F.col("jeton").rlike(SUSPECT) & ~F.col("jeton").contains("�"))
+    suspects = spread(suspects)
     first = _weigh(suspects, _count_pairs(vocabulary, "jeton"))
     flat = F.array(*[F.lit(FIRST_SHARE / len(CHAINS))] * len(CHAINS))
     best = F.reduce(_posterior(flat), F.struct(F.lit(-1).alias("chaine"), F.col("jeton").alias("lecture"), F.lit(0.5).cast("double").alias("p")), lambda a, x: F.when(x["p"] > a["p"], x).otherwise(a))

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 #: Labels of blocks: plain text, and text, heading, list entry, code, formula and wrapper that carry markup.
 LABELS = ["nu", "texte", "titre", "liste", "code", "formule", "balise"]
 #: Clean lines of the collection that labelled pages are made of, taken by hash, and pages made; the bounds of the sample.
@@ -300,6 +302,12 @@ def model(pages: DataFrame, text: str = "texte") -> Field:
     return train([r["l"] for r in rows])
 
 
+_OPENS = [
+    ("titre", re.compile(r"\s*(?:<h[1-6]\b|#{1,6}\s|={2,6}[^=\n]+={2,6}\s*$|\\(?:section|subsection|subsubsection|chapter|title)\*?\{)", re.I)),
+    ("liste", re.compile(r"\s*(?:<li\b(?!>\s*<a href=\"?/)|[*+]+\s+\S|[-*+] \[[ xX]\] |\*+[^\s*]|\\item\b)(?!\*)", re.I)),
+]
+
+
 def labels_of(text: str | None, field: Field) -> list[tuple[str, int]]:
     """(block, label) of the whole text. A block that the field takes for markup but that shows no syntax, in itself or by the
     environment it stands in, is plain."""
@@ -312,7 +320,10 @@ def labels_of(text: str | None, field: Field) -> list[tuple[str, int]]:
     sure = x[:, [INDEX[n] for n in SURE]].any(1)
     for k, (line, y) in enumerate(zip(lines, field.decode(x, sure))):
         under = k > 0 and x[k - 1, INDEX["before_rule"]] and x[k, INDEX["rule"]]
-        out.append((line, int(y) if x[k, INDEX["strong"]] or around[k] or under else 0))
+        y = int(y) if x[k, INDEX["strong"]] or around[k] or under else 0
+        if y and LABELS[y] != "code":  # the syntax that opens the block settles its kind
+            y = next((LABELS.index(kind) for kind, p in _OPENS if p.match(line)), y)
+        out.append((line, y))
     return out
 
 
@@ -407,6 +418,7 @@ def marked_fields(pages: DataFrame, fields: list[str], key: str = "fichier", tex
     def marked(col: pd.Series) -> pd.Series:
         return col.map(lambda t: has_markup(t, shared.value)).astype(bool)
 
+    pages = spread(pages.select(key, *fields))
     parts = [pages.where(F.col(f).isNotNull()).select(F.col(key).alias(key), F.lit(f).alias("champ"), F.col(f).alias("contenu")) for f in fields]
     rows = parts[0]
     for p in parts[1:]:
@@ -422,6 +434,7 @@ def clean_fields(pages: DataFrame, fields: list[str], key: str = "fichier", text
     def tidy(col: pd.Series) -> pd.Series:
         return col.map(lambda t: clean(t, shared.value))
 
+    pages = spread(pages.select(key, *fields))
     parts = [pages.select(F.col(key).alias(key), F.lit(f).alias("champ"), F.col(f).alias("contenu")) for f in fields]
     rows = parts[0]
     for p in parts[1:]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, spread
 from .tokens import token_count
 
 #: Bits of the hash, and bits settled by each histogram.
@@ -73,7 +73,7 @@ def mix(docs: DataFrame, mixes: DataFrame, key: str = "doc_id", text: str = "tex
     spark = docs.sparkSession
     names = sorted({p["s"] for p in parts})
     named = F.broadcast(spark.createDataFrame([(s,) for s in names], "source string"))
-    rows = docs.select(F.col(key).alias("k"), F.col(source).alias("source"), F.col(text).alias("t")).join(named, "source")
+    rows = spread(docs.select(key, source, text)).select(F.col(key).alias("k"), F.col(source).alias("source"), F.col(text).alias("t")).join(named, "source")
     rows = materialize(rows.select("k", "source", place(F.col("k"), seed).alias("place"), token_count(F.col("t")).alias("n")), "melange")
     size = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.sum("n").alias("n")).collect()}
     by_mix: dict[int, dict[str, tuple[float, int | None]]] = {}

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, spread
 from .tokens import token_count
 
 #: Largest capacity: the histogram of one capacity has at most as many lengths, which bounds what the driver holds.
@@ -76,7 +76,7 @@ def pack(docs: DataFrame, containers: DataFrame, key: str = "doc_id", text: str
     if len(sizes) > MOST_CONTAINERS or any(r["capacite"] > MOST_CAPACITY for r in sizes):
         raise ValueError(f"more than {MOST_CONTAINERS} containers or a capacity above {MOST_CAPACITY}")
     spark = docs.sparkSession
-    lengths = materialize(docs.select(F.col(key).alias("k"), (token_count(F.col(text), folder) if folder else token_count(F.col(text))).alias("n")), "tailles")
+    lengths = materialize(spread(docs.select(key, text)).select(F.col(key).alias("k"), (token_count(F.col(text), folder) if folder else token_count(F.col(text))).alias("n")), "tailles")
     total = lengths.count()
     buckets = max(16, total // 50_000)
     kinds = spark.createDataFrame([(int(r["contenant_id"]), int(r["capacite"])) for r in sizes], "contenant_id int, capacite int")

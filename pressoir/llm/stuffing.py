@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 # Function words of French, English, German and Spanish.
 FUNCTION_WORDS = frozenset(
     """
@@ -120,9 +122,9 @@ LEAST_STUFFED = 0.45
 
 
 def stuffed_pages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, measures..., spam) of every row; no shuffle, texts are measured where they lie.
+    """(key, measures..., spam) of every row; no shuffle but to spread a scan of few partitions.
 
     Null, empty and blank texts are no spam; a null key is kept; other columns are ignored.
     """
-    rows = docs.select(F.col(key).alias(key), stuffing_column(F.col(text)).alias("m")).select(key, "m.*")
+    rows = spread(docs.select(key, text)).select(F.col(key).alias(key), stuffing_column(F.col(text)).alias("m")).select(key, "m.*")
     return rows.withColumn("spam", (F.col("bourrage") > LEAST_STUFFED) & ((F.col("mots") >= 8) | (F.col("mots") == 0)))
