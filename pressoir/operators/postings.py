@@ -15,11 +15,23 @@ def postings(docs: DataFrame, wanted: tuple[str, ...] | None = None) -> DataFram
     return zone_tokens(docs, wanted).select("zone", "token", "fichier")
 
 
+#: Documents in a list of an export form; longer lists are parted into lots of about so many.
+LOT = 10_000
+
+
+def lots(rows: DataFrame, keys: list[str], document: str) -> DataFrame:
+    """The rows with ``lot``: 0 for keys of at most LOT rows, else a number from the document's hash, so that no list grows with the collection."""
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > LOT)
+    number = F.conv(F.substring(F.md5(F.col(document)), 1, 8), 16, 10).cast("long")
+    out = rows.join(sizes, keys, "left")
+    return out.withColumn("lot", F.coalesce(F.pmod(number, F.ceil(F.col("_n") / LOT)), F.lit(0)).cast("int")).drop("_n")
+
+
 def inverted_index(docs: DataFrame, wanted: tuple[str, ...] | None = None) -> DataFrame:
-    """(token, documents): per token the distinct documents, sorted, joined by blanks; an export form, not for search."""
+    """(token, lot, documents, n): per token the distinct documents, sorted, joined by blanks; an export form, not for search."""
     flat = read_zones(docs) if wanted is None else read_zones(docs).where(F.col("zone").isin(*wanted))
     rows = flat.select(F.explode(F.array_distinct(tokens("contenu"))).alias("token"), "fichier").distinct()
-    return rows.groupBy("token").agg(F.array_join(F.sort_array(F.collect_list("fichier")), " ").alias("documents"), F.count("*").alias("n"))
+    return lots(rows, ["token"], "fichier").groupBy("token", "lot").agg(F.array_join(F.sort_array(F.collect_list("fichier")), " ").alias("documents"), F.count("*").alias("n"))
 
 
 def rekey(index: DataFrame, roots: DataFrame, token: str = "token") -> DataFrame:
@@ -46,10 +58,10 @@ def field_frequencies(docs: DataFrame) -> DataFrame:
 
 
 def frequency_lines(frequencies: DataFrame) -> DataFrame:
-    """(champ, terme, documents): 'id:count id:count', ids sorted."""
+    """(champ, terme, lot, documents): 'id:count id:count', ids sorted."""
     pair = F.struct("document_id", "tf")
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(pair)), lambda x: F.concat_ws(":", x["document_id"], x["tf"])), " ")
-    return frequencies.groupBy("champ", "terme").agg(joined.alias("documents"))
+    return lots(frequencies, ["champ", "terme"], "document_id").groupBy("champ", "terme", "lot").agg(joined.alias("documents"))
 
 
 def matching(index: DataFrame, terms: list[str], operator: str | None = "AND", zone: str = "texte", strict: bool = False) -> DataFrame:
