@@ -51,6 +51,8 @@ _latin = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏḀ-ỿ]")
 DIRT = f"[{IGNORABLES}{SPACES}{HYPHENS}{MARKS}{FORMS}]|[\\x{{1d400}}-\\x{{1d7ff}}]|(?<![\\p{{L}}\\p{{N}}])[{FOREIGN}](?=['’]\\p{{IsLatin}})"
 WORD = f"[\\p{{L}}\\p{{M}}{IGNORABLES}]+"
 SUSPECT = f"[{IGNORABLES}{MARKS}{FORMS}]|[\\x{{1d400}}-\\x{{1d7ff}}]|\\p{{IsLatin}}[\\p{{M}}{IGNORABLES}]*[{FOREIGN}]|[{FOREIGN}][\\p{{M}}{IGNORABLES}]*\\p{{IsLatin}}"
+#: A character that ordinary French text does not hold: texts without one need no closer look.
+UNUSUAL = "[^\\n -~À-ÖØ-öø-ÿœŒ’‘“”…–—€«»°²³½×±·§]"
 #: Letters that alternatives of one look-alike join into a class, for the blocking key only.
 CLASSES = ("vynuh", "uuuuu")
 
@@ -152,8 +154,8 @@ def canonical_words(texts: DataFrame, text: str = "texte") -> DataFrame:
     def key(col: pd.Series) -> pd.Series:
         return col.map(lambda w: fold_key(by_table(w)))
 
-    suspects = counted.where(F.col("mot").rlike(SUSPECT)).select("mot", key("mot").alias("cle_mot"))
-    plain = counted.where(~F.col("mot").rlike(f"{SUSPECT}|[{FOREIGN}]")).select("mot", "n", F.translate(F.lower("mot"), *CLASSES).alias("cle_mot"))
+    suspects = counted.where(F.col("mot").rlike(UNUSUAL) & F.col("mot").rlike(SUSPECT)).select("mot", key("mot").alias("cle_mot"))
+    plain = counted.where(~F.col("mot").rlike(UNUSUAL) | ~F.col("mot").rlike(f"{SUSPECT}|[{FOREIGN}]")).select("mot", "n", F.translate(F.lower("mot"), *CLASSES).alias("cle_mot"))
     plain = plain.join(suspects.select("cle_mot").distinct(), "cle_mot", "left_semi")
     buckets = 4 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tas = F.pmod(F.xxhash64("cle_mot"), F.lit(buckets))
@@ -188,7 +190,7 @@ def written_texts(articles: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def _suspect_rows(texts: DataFrame) -> DataFrame:
-    return texts.where(F.col("texte").rlike(f"{DIRT}|{SUSPECT}"))
+    return texts.where(F.col("texte").rlike(UNUSUAL) & F.col("texte").rlike(f"{DIRT}|{SUSPECT}"))
 
 
 def dirty_texts(texts: DataFrame) -> DataFrame:
@@ -198,8 +200,9 @@ def dirty_texts(texts: DataFrame) -> DataFrame:
     spaces, hyphens, marks or ignorables stand outside words.
     """
     formes = materialize(canonical_words(texts), "formes")
-    outside = texts.where(F.col("texte").rlike(DIRT)).select("champ", "cle")
-    rows = _suspect_rows(texts).select("champ", "cle", F.explode(F.array_distinct(F.regexp_extract_all("texte", F.lit(WORD), F.lit(0)))).alias("mot")).where(F.col("mot").rlike(SUSPECT))
+    suspects = materialize(_suspect_rows(texts), "suspects")
+    outside = suspects.where(F.col("texte").rlike(DIRT)).select("champ", "cle")
+    rows = suspects.select("champ", "cle", F.explode(F.array_distinct(F.regexp_extract_all("texte", F.lit(WORD), F.lit(0)))).alias("mot")).where(F.col("mot").rlike(SUSPECT))
     return rows.join(formes.select("mot"), "mot", "left_semi").select("champ", "cle").unionByName(outside).distinct()
 
 
@@ -217,7 +220,7 @@ def consistent_texts(texts: DataFrame) -> DataFrame:
     def rewrite(texte: pd.Series, formes: pd.Series) -> pd.Series:
         return pd.Series([_rewrite(t, f) for t, f in zip(texte, formes)])
 
-    suspect = F.col("texte").rlike(f"{DIRT}|{SUSPECT}")
+    suspect = F.col("texte").rlike(UNUSUAL) & F.col("texte").rlike(f"{DIRT}|{SUSPECT}")
     out = texts.join(maps, "ligne", "left")
     return out.select("champ", "cle", "pos", "texte", F.when(suspect, rewrite("texte", "formes")).otherwise(F.col("texte")).alias("forme"))
 
