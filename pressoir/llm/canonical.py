@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import join_margin, materialize
 
 # Words that carry no meaning in a label, and words that only announce one.
 EMPTY_WORDS = frozenset("a au aux d de des du en et l la le les un une".split())
@@ -216,7 +216,8 @@ def map_values(values: DataFrame, reference: DataFrame, value: str = "valeur", e
             out.append(rank(ref, list(toks), repaired))
         return pd.DataFrame(out, columns=["entree", "score"])
 
-    ranked = joined.select("valeur", rank_udf("jetons", "lectures").alias("r")).select("valeur", "r.entree", F.round("r.score", 6).alias("score"))
+    wide = joined.repartition(3 * spark.sparkContext.defaultParallelism)  # ranking costs far more than its bytes tell
+    ranked = wide.select("valeur", rank_udf.asNondeterministic()("jetons", "lectures").alias("r")).select("valeur", "r.entree", F.round("r.score", 6).alias("score"))
     exact = reference.select(F.col(label).alias("valeur"), F.col(entry_id).cast("int").alias("exact")).where("valeur is not null").groupBy("valeur").agg(F.min("exact").alias("exact"))
     return ranked.join(exact, "valeur", "left").select("valeur", F.coalesce("exact", "entree").alias("entree"), F.when(F.col("exact").isNotNull(), 1.0).otherwise(F.col("score")).alias("score"))
 
@@ -234,5 +235,6 @@ def map_rubrics(articles: DataFrame, requests: DataFrame, reference: DataFrame)
     Null and blank values, null and empty lists give no rows; repeated rows count once.
     """
     values = materialize(free_values(articles, requests), "saisies")
-    mapped = map_values(values, reference)
-    return values.join(mapped, "valeur").select("champ", "cle", "pos", "valeur", F.col("entree").alias("rubric_id"), "score")
+    counts = values.groupBy("valeur").agg(F.count("*").alias("lignes"))
+    mapped = materialize(map_values(values, reference).join(counts, "valeur"), "entrees")
+    return join_margin(values, mapped, "valeur", F.col("lignes"), values.count() or 1).select("champ", "cle", "pos", "valeur", F.col("entree").alias("rubric_id"), "score")

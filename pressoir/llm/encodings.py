@@ -299,8 +299,9 @@ def damaged_tokens(rows: DataFrame, fields: list[str], key: str, source: str) ->
     best = F.reduce(_posterior(flat), F.struct(F.lit(-1).alias("chaine"), F.col("jeton").alias("lecture"), F.lit(0.5).cast("double").alias("p")), lambda a, x: F.when(x["p"] > a["p"], x).otherwise(a))
     read = vocabulary.join(first.select("jeton", best["lecture"].alias("lu")), "jeton", "left").select(F.coalesce("lu", "jeton").alias("lu"), "n")
     weighed = materialize(_weigh(suspects, _count_pairs(read, "lu")), "lectures")
-    able = weighed.where(F.size("lectures") > 0).select("jeton", "lectures")
-    mine = materialize(counted.where(F.col("jeton").rlike(SUSPECT)).join(able, "jeton"), "suspects")
+    able = weighed.where(F.size("lectures") > 0).select("jeton", "lectures", F.col("n").alias("partout"))
+    seen = able.agg(F.coalesce(F.sum("partout"), F.lit(1))).first()[0]
+    mine = materialize(join_margin(counted.where(F.col("jeton").rlike(SUSPECT)), able, "jeton", F.col("partout"), seen).drop("partout"), "suspects")
     name = F.to_json(F.struct("site", "champ")).alias("source")
     by_source = materialize(mine.groupBy("site", "champ", "jeton").agg(F.sum("n").alias("n"), F.first("lectures").alias("lectures")).select(name, "jeton", "n", "lectures"), "sources")
     size = by_source.count()

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import join_margin, materialize
 
 # Letters of other alphabets and the Latin letters they look like, most alike first.
 LOOKALIKES = {
@@ -140,12 +140,12 @@ def fold_key(word: str) -> str:
 
 
 def canonical_words(texts: DataFrame, text: str = "texte") -> DataFrame:
-    """(mot, forme, voie): for every distinct suspect word of the texts its one consistent spelling.
+    """(mot, forme, voie, n): for every distinct suspect word of the texts its one consistent spelling.
 
     The vocabulary is the texts' own plain words with their counts. Words that can match share a
     folded key, so suspects and vocabulary meet in hash buckets of keys, each bucket builds the trie of its words and
     traverses it. voie is 'lexique' where the trie gave the spelling, 'table' where no word matched.
-    Words whose spelling is already consistent are left out.
+    Words whose spelling is already consistent are left out. n is how often the word occurs.
     """
     words = texts.where(F.col(text).isNotNull()).select(F.explode(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))).alias("mot"))
     counted = materialize(words.groupBy("mot").agg(F.count("*").alias("n")), "mots")
@@ -154,7 +154,7 @@ def canonical_words(texts: DataFrame, text: str = "texte") -> DataFrame:
     def key(col: pd.Series) -> pd.Series:
         return col.map(lambda w: fold_key(by_table(w)))
 
-    suspects = counted.where(F.col("mot").rlike(UNUSUAL) & F.col("mot").rlike(SUSPECT)).select("mot", key("mot").alias("cle_mot"))
+    suspects = counted.where(F.col("mot").rlike(UNUSUAL) & F.col("mot").rlike(SUSPECT)).select("mot", "n", key("mot").alias("cle_mot"))
     plain = counted.where(~F.col("mot").rlike(UNUSUAL) | ~F.col("mot").rlike(f"{SUSPECT}|[{FOREIGN}]")).select("mot", "n", F.translate(F.lower("mot"), *CLASSES).alias("cle_mot"))
     plain = plain.join(suspects.select("cle_mot").distinct(), "cle_mot", "left_semi")
     buckets = 4 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -165,7 +165,7 @@ def canonical_words(texts: DataFrame, text: str = "texte") -> DataFrame:
         for w, n in zip(right["clair"], right["n"]):
             trie.add(w, int(n))
         out = []
-        for w in left["suspect"]:
+        for w, n in zip(left["suspect"], left["fois"]):
             options = readings(w)
             found = trie.match(options) or trie.match([o.lower() for o in options])
             lower = found is not None and not trie.match(options)
@@ -174,12 +174,12 @@ def canonical_words(texts: DataFrame, text: str = "texte") -> DataFrame:
                 found = "".join(c.upper() if t.isupper() else c for c, t in zip(found, table)) if len(found) == len(table) else None
             forme = found or by_table(w)
             if forme != w:
-                out.append((w, forme, "lexique" if found else "table"))
-        return pd.DataFrame(out, columns=["mot", "forme", "voie"])
+                out.append((w, forme, "lexique" if found else "table", n))
+        return pd.DataFrame(out, columns=["mot", "forme", "voie", "n"])
 
-    a = suspects.select(F.col("mot").alias("suspect"), tas.alias("tas_s"))
+    a = suspects.select(F.col("mot").alias("suspect"), F.col("n").alias("fois"), tas.alias("tas_s"))
     b = plain.select(F.col("mot").alias("clair"), F.col("n").alias("n"), tas.alias("tas_c"))
-    return a.groupBy("tas_s").cogroup(b.groupBy("tas_c")).applyInPandas(look_up, "mot string, forme string, voie string")
+    return a.groupBy("tas_s").cogroup(b.groupBy("tas_c")).applyInPandas(look_up, "mot string, forme string, voie string, n long")
 
 
 def written_texts(articles: DataFrame, requests: DataFrame) -> DataFrame:
@@ -193,6 +193,11 @@ def _suspect_rows(texts: DataFrame) -> DataFrame:
     return texts.where(F.col("texte").rlike(UNUSUAL) & F.col("texte").rlike(f"{DIRT}|{SUSPECT}"))
 
 
+def _with_forms(rows: DataFrame, formes: DataFrame) -> DataFrame:
+    """Rows of words with their forms; a word that very many texts hold fills no task."""
+    return join_margin(rows, formes, "mot", F.col("n"), formes.agg(F.coalesce(F.sum("n"), F.lit(1))).first()[0])
+
+
 def dirty_texts(texts: DataFrame) -> DataFrame:
     """(champ, cle) of the texts whose consistent form differs from what is written.
 
@@ -203,7 +208,7 @@ def dirty_texts(texts: DataFrame) -> DataFrame:
     suspects = materialize(_suspect_rows(texts), "suspects")
     outside = suspects.where(F.col("texte").rlike(DIRT)).select("champ", "cle")
     rows = suspects.select("champ", "cle", F.explode(F.array_distinct(F.regexp_extract_all("texte", F.lit(WORD), F.lit(0)))).alias("mot")).where(F.col("mot").rlike(SUSPECT))
-    return rows.join(formes.select("mot"), "mot", "left_semi").select("champ", "cle").unionByName(outside).distinct()
+    return _with_forms(rows, formes).select("champ", "cle").unionByName(outside).distinct()
 
 
 def consistent_texts(texts: DataFrame) -> DataFrame:
@@ -214,7 +219,7 @@ def consistent_texts(texts: DataFrame) -> DataFrame:
     formes = materialize(canonical_words(texts), "formes")
     texts = texts.withColumn("ligne", F.xxhash64("champ", "cle", "pos", "texte"))
     rows = _suspect_rows(texts).select("ligne", F.explode(F.array_distinct(F.regexp_extract_all("texte", F.lit(WORD), F.lit(0)))).alias("mot")).where(F.col("mot").rlike(SUSPECT))
-    maps = rows.distinct().join(formes, "mot").groupBy("ligne").agg(F.collect_list(F.struct("mot", "forme")).alias("formes"))
+    maps = _with_forms(rows.distinct(), formes).groupBy("ligne").agg(F.collect_list(F.struct("mot", "forme")).alias("formes"))
 
     @F.pandas_udf("string")
     def rewrite(texte: pd.Series, formes: pd.Series) -> pd.Series:
