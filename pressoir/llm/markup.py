@@ -321,6 +321,8 @@ def labels_of(text: str | None, field: Field) -> list[tuple[str, int]]:
     for k, (line, y) in enumerate(zip(lines, field.decode(x, sure))):
         under = k > 0 and x[k - 1, INDEX["before_rule"]] and x[k, INDEX["rule"]]
         y = int(y) if x[k, INDEX["strong"]] or around[k] or under else 0
+        if under or x[k, INDEX["before_rule"]] and not x[k, INDEX["in_fence"]]:
+            y = LABELS.index("titre")  # a line underlined in its own length
         if y and LABELS[y] != "code":  # the syntax that opens the block settles its kind
             y = next((LABELS.index(kind) for kind, p in _OPENS if p.match(line)), y)
         out.append((line, y))
