@@ -212,10 +212,10 @@ def _model(shared) -> Language:
 
 
 #: Weight of the collection's prior in a source's, and of a source's in a record's, in tokens; share of garbled tokens assumed at first.
-PRIOR_TOKENS, RECORD_TOKENS, FIRST_SHARE = 50.0, 4.0, 0.02
+PRIOR_TOKENS, RECORD_TOKENS, FIRST_SHARE = 50.0, 4.0, 0.05
 ROUNDS = 3
-#: Posterior of all chains above which a token counts as garbled.
-LEAST_POSTERIOR = 0.5
+#: Posterior of all chains above which a token counts as garbled; most garbled tokens lie far above, most others far below.
+LEAST_POSTERIOR = 0.3
 #: The same in a record that surely has other garbled tokens.
 SURE_POSTERIOR = 0.15
 
@@ -296,8 +296,10 @@ def damaged_tokens(rows: DataFrame, fields: list[str], key: str, source: str) ->
     suspects = spread(suspects)
     first = _weigh(suspects, _count_pairs(vocabulary, "jeton"))
     flat = F.array(*[F.lit(FIRST_SHARE / len(CHAINS))] * len(CHAINS))
-    best = F.reduce(_posterior(flat), F.struct(F.lit(-1).alias("chaine"), F.col("jeton").alias("lecture"), F.lit(0.5).cast("double").alias("p")), lambda a, x: F.when(x["p"] > a["p"], x).otherwise(a))
-    read = vocabulary.join(first.select("jeton", best["lecture"].alias("lu")), "jeton", "left").select(F.coalesce("lu", "jeton").alias("lu"), "n")
+    likeliest = F.reduce("post", F.struct(F.lit(-1).alias("chaine"), F.lit(None).cast("string").alias("lecture"), F.lit(-1.0).alias("p")), lambda a, x: F.when(x["p"] > a["p"], x).otherwise(a))
+    garbled = F.aggregate("post", F.lit(0.0), lambda a, x: a + x["p"]) > 0.5
+    lu = first.withColumn("post", _posterior(flat)).select("jeton", F.when(garbled, likeliest["lecture"]).alias("lu"))
+    read = vocabulary.join(lu, "jeton", "left").select(F.coalesce("lu", "jeton").alias("lu"), "n")
     weighed = materialize(_weigh(suspects, _count_pairs(read, "lu")), "lectures")
     able = weighed.where(F.size("lectures") > 0).select("jeton", "lectures", F.col("n").alias("partout"))
     seen = able.agg(F.coalesce(F.sum("partout"), F.lit(1))).first()[0]
