@@ -49,6 +49,18 @@ def spread(df: DataFrame, times: int = 3) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= least else df.repartition(least)
 
 
+def hash_sample(df: DataFrame, text: str, most: int) -> DataFrame:
+    """(text): at most ``most`` distinct values, those of least hash; the same for the same values, however often each is repeated.
+
+    Only hashes are shuffled to find the bound; then each value below it is kept once.
+    """
+    h = F.xxhash64(text)
+    least = df.where(F.col(text).isNotNull()).select(h.alias("h")).distinct().orderBy("h").limit(most)
+    bound = least.agg(F.max("h")).first()[0]
+    kept = df.where(F.col(text).isNotNull() & (h <= F.lit(bound) if bound is not None else F.lit(False)))
+    return kept.select(h.alias("h"), text).groupBy("h").agg(F.first(text).alias(text)).orderBy("h").select(text)
+
+
 #: Keys that hold more than 1/HEAVY_SHARE of all rows are joined by broadcast; there are fewer than HEAVY_SHARE of them.
 HEAVY_SHARE = 500
 
