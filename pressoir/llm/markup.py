@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import hash_sample, spread
 
 #: Labels of blocks: plain text, and text, heading, list entry, code, formula and wrapper that carry markup.
 LABELS = ["nu", "texte", "titre", "liste", "code", "formule", "balise"]
@@ -297,8 +297,8 @@ def train(lines: list[str]) -> Field:
 def model(pages: DataFrame, text: str = "texte") -> Field:
     """The field, fitted on the driver on labelled pages made of at most SAMPLE_LINES clean lines, taken by hash."""
     line = F.explode(F.split(text, "\n")).alias("l")
-    clean = pages.where(F.col(text).isNotNull()).select(line).where(F.col("l").rlike(r"^[\p{L}0-9 ,;:.!?'’«»()%-]{12,400}$")).distinct()
-    rows = clean.orderBy(F.xxhash64("l")).limit(SAMPLE_LINES).collect()
+    clean = pages.where(F.col(text).isNotNull()).select(line).where(F.col("l").rlike(r"^[\p{L}0-9 ,;:.!?'’«»()%-]{12,400}$"))
+    rows = hash_sample(clean, "l", SAMPLE_LINES).collect()
     return train([r["l"] for r in rows])
 
 
