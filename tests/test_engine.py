@@ -14,7 +14,7 @@ from pressoir.operators import correct, metrics, postings, results
 from pressoir.plans import boolean, compile
 from pressoir.plans.ir import StructuredQuery
 from pressoir.schema import COLUMNS, DOCUMENT, check_keys, latest, zones
-from pressoir.session import join_margin
+from pressoir.session import hash_sample, join_margin, spread
 
 
 def row(f, date, rubrique, titre, texte, images):
@@ -236,3 +236,16 @@ def test_set_algebra_of_results(docs):
 
 def test_columns():
     assert COLUMNS == ["fichier", "numero", "date", "rubrique", "titre", "auteur", "contact", "texte", "images"]
+
+
+def test_hash_sample_keeps_distinct_values(spark):
+    d = spark.createDataFrame([("hot",)] * 300 + [(f"v{i}",) for i in range(50)] + [(None,)], "t string")
+    few, all_ = hash_sample(d, "t", 10), hash_sample(d, "t", 1000)
+    assert few.count() == 10 and all_.count() == 51 and {r.t for r in few.collect()} <= {r.t for r in all_.collect()}
+    assert hash_sample(d.limit(0), "t", 5).count() == 0
+    assert [r.t for r in hash_sample(d.union(d), "t", 10).collect()] == [r.t for r in few.collect()]
+
+
+def test_spread_only_scans_of_few_partitions(spark):
+    d = spark.range(100).coalesce(1)
+    assert spread(d).rdd.getNumPartitions() == 3 * spark.sparkContext.defaultParallelism and spread(d.repartition(50)).rdd.getNumPartitions() == 50
