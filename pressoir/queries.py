@@ -403,6 +403,11 @@ def _words(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return asked, lexicon
 
 
+def _all_words(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Every distinct word of the queries, and the words of all zones; ``_words`` has the part that SQL can follow."""
+    return spark.read.parquet(f"{d}/requetes.parquet").select(F.explode(T.tokens("raw_query")).alias("mot")).distinct(), metrics.vocabulary(archive(spark, d))
+
+
 @query(f"{_ASCII}, {_PAIRS} SELECT mot, candidat, score FROM p WHERE score >= 60")
 def prefix_candidates(spark, d):
     words, lexicon = _words(spark, d)
@@ -426,10 +431,29 @@ def longest_prefix(spark, d):
 
 @query()
 def correct_sentences(spark, d):
-    _, lexicon = _words(spark, d)
+    _, lexicon = _all_words(spark, d)
     return correct.correct_sentences(spark.read.parquet(f"{d}/requetes.parquet").select("query_id", "raw_query").distinct(), lexicon, "query_id", "raw_query")
 
 
+# DuckDB's levenshtein counts bytes, so words with accents have no SQL
+
+
+@query()
+def prefix_candidates_whole(spark, d):
+    words, lexicon = _all_words(spark, d)
+    return correct.prefix_candidates(words.join(lexicon, "mot", "left_anti"), lexicon)
+
+
+@query()
+def correct_tokens_whole(spark, d):
+    return correct.correct_tokens(*_all_words(spark, d))
+
+
+@query()
+def longest_prefix_whole(spark, d):
+    return correct.longest_prefix(*_all_words(spark, d))
+
+
 # normalisation
 
 
