@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import hash_sample, spread
+from ..session import hash_sample, materialize, spread
 from .encodings import CHAINS, undo
 
 #: Most lines of labelled pages that the link model is fitted on, taken by hash of the page; the bound of the sample.
@@ -263,25 +263,39 @@ def frame_lines(page: str | None, weights: np.ndarray, common: frozenset[str] =
     return [n["i"] for n, s in zip(nodes, state) if s == "F"]
 
 
-#: Pages whose words tell which are common everywhere, taken by hash; the bound of the sample. Share of pages from which a word is common.
-SAMPLE_PAGES, COMMON = 2_000, 0.1
+#: Share of pages from which a word is common.
+COMMON = 0.1
+
+
+def common_words(pages: DataFrame, text: str = "texte") -> frozenset[str]:
+    """The words of five letters and more that stand in more than COMMON of all distinct pages, and in more than three.
+
+    Every page counts. Only the words above the share come to the driver: no more than the mean of a page's distinct words, divided by COMMON.
+    """
+
+    @F.pandas_udf("array<string>")
+    def words(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: ["", *set(re.findall(r"[a-z]{5,}", fold(plain(t))))])  # the empty word counts the pages
+
+    spark = pages.sparkSession
+    parts = max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    each = pages.where(F.col(text).isNotNull()).select(F.col(text).alias("texte")).distinct().repartition(parts)
+    counts = materialize(each.select(F.explode(words("texte")).alias("mot")).groupBy("mot").agg(F.count("*").alias("n")), "mots")
+    total = counts.where("mot = ''").first()
+    if total is None:
+        return frozenset()
+    return frozenset(r.mot for r in counts.where((F.col("n") > max(3, COMMON * total.n)) & (F.col("mot") != "")).toLocalIterator())
 
 
 def link_model(pages: DataFrame, text: str = "texte") -> tuple[np.ndarray, frozenset[str]]:
-    """The link model, fitted on the driver on at most SAMPLE_LINES lines of pages whose mark-up labels them, and the common words."""
-    some = hash_sample(pages, text, SAMPLE_PAGES)
-    seen: Counter = Counter()
-    n = 0
-    for r in some.toLocalIterator():
-        n += 1
-        seen.update(set(re.findall(r"[a-z]{5,}", fold(plain(r[0])))))
+    """The link model, fitted on the driver on at most SAMPLE_LINES lines of pages whose mark-up labels them, and the words common to all pages."""
     marked = hash_sample(pages.where(F.col(text).rlike(r'class="?nav|<td>|<li><a href="?/')), text, SAMPLE_LINES // 10)
     examples: list[tuple[list[int], int]] = []
     for r in marked.toLocalIterator():
         examples += labelled([r[0]])
         if len(examples) >= SAMPLE_LINES:
             break
-    return fit(examples[:SAMPLE_LINES]), frozenset(w for w, c in seen.items() if c > max(3, COMMON * n))
+    return fit(examples[:SAMPLE_LINES]), common_words(pages, text)
 
 
 def boilerplate_lines(pages: DataFrame, key: str = "fichier", text: str = "texte") -> DataFrame:

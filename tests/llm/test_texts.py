@@ -194,6 +194,21 @@ def test_frame_lines(spark):
     assert boilerplate.boilerplate_lines(pages(spark, rows).limit(0)).count() == 0
 
 
+def test_common_words_count_every_page(spark):
+    n = 3000
+    name = lambda kind, i: f"{kind}mots" + "abcdefghij"[i // 10] + "abcdefghij"[i % 10]
+    rng = random.Random(3)
+    held = [[] for _ in range(n)]
+    for kind, times in (("commun", n // 10 + 1), ("limite", n // 10)):
+        for i in range(60):
+            for k in rng.sample(range(n), times):
+                held[k].append(name(kind, i))
+    rows = [(f"f{k}", None, None, f"{k} " + " ".join(ws)) for k, ws in enumerate(held)]
+    got = boilerplate.link_model(pages(spark, rows + rows[:500] + [("nul", None, None, None)]))[1]
+    assert got == {name("commun", i) for i in range(60)}
+    assert boilerplate.link_model(pages(spark, rows).limit(0))[1] == frozenset()
+
+
 # problem 10
 
 SPAM = [
