@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 
@@ -29,6 +30,8 @@ FUNCTION_WORDS = frozenset(
 LINK = re.compile(r"https?://\S+|www\.\S+|\]\([^)\s]*\)")
 WORD = re.compile(r"[^\W_]+")
 CUT = re.compile(r"(?<=[.!?…])\s+|\n+")
+#: Share of content words repeated at one lag from which a text is periodic; share of function words from which a segment of it is a sentence or verse.
+PERIODIC, SENTENCE = 0.8, 0.35
 
 
 def _gaps(places: list[int]) -> tuple[float, float]:
@@ -38,26 +41,69 @@ def _gaps(places: list[int]) -> tuple[float, float]:
     return m, float(g.std()) / m if m else 0.0
 
 
-def autocorrelation(terms: np.ndarray, lags: int = 40) -> float:
-    """Largest share of positions that hold the same term as the position some lags on."""
-    best = 0.0
-    for lag in range(1, min(lags, len(terms) // 2) + 1):
-        same = terms[:-lag] == terms[lag:]
-        best = max(best, float((same & (terms[:-lag] >= 0)).mean()))
-    return best
+def agreement(terms: np.ndarray) -> np.ndarray:
+    """For each lag from 0 to half the length, how many positions hold the same term as the position so many on; negative terms are none.
+
+    Pairs of a term are counted one by one where it is rare, by its spectrum where it is frequent: exact either way, and never quadratic in the length.
+    """
+    n = len(terms)
+    half = n // 2
+    out = np.zeros(half + 1, "int64")
+    order = np.argsort(terms, kind="stable")
+    order = order[np.searchsorted(terms[order], 0) :]
+    frequent = max(64, int((n * math.log2(n + 2)) ** 0.5))
+    for places in np.split(order, np.flatnonzero(np.diff(terms[order])) + 1):
+        if len(places) > frequent:
+            held = np.zeros(1 << (n + half).bit_length())
+            held[places] = 1
+            out += np.rint(np.fft.irfft(np.abs(np.fft.rfft(held)) ** 2, len(held))[: half + 1]).astype("int64")
+        elif len(places) > 1:
+            lags = (places[None, :] - places[:, None]).ravel()
+            out += np.bincount(lags[(lags > 0) & (lags <= half)], minlength=half + 1)
+    return out
+
+
+def autocorrelation(terms: np.ndarray) -> float:
+    """Largest share of positions that hold the same term as the position some lags on, over all lags up to half the text."""
+    if len(terms) < 2:
+        return 0.0
+    lags = np.arange(1, len(terms) // 2 + 1)
+    return float((agreement(terms)[1:] / (len(terms) - lags)).max())
+
+
+def periodic(terms: np.ndarray) -> np.ndarray:
+    """Which positions repeat the term one period before or after.
+
+    The period is the lag of the autocorrelation's peak, among lags that the text holds four times; none, where fewer than PERIODIC of the positions with a term repeat at it.
+    """
+    n = len(terms)
+    out = np.zeros(n, bool)
+    if n < 4:
+        return out
+    lags = np.arange(1, n // 4 + 1)
+    able = np.cumsum(terms >= 0)[n - lags - 1]
+    share = agreement(terms)[1 : len(lags) + 1] / np.maximum(1, able)
+    lag = int(share.argmax()) + 1
+    if share[lag - 1] >= PERIODIC:
+        same = (terms[:-lag] == terms[lag:]) & (terms[:-lag] >= 0)
+        out[:-lag] |= same
+        out[lag:] |= same
+    return out
 
 
 def stuffing(text: str | None) -> dict[str, float]:
     """Measures of one text, read whole.
 
-    ``mots`` counts its words outside links, ``outils`` the share of function words, ``autocorrelation`` see above,
+    ``mots`` counts its words outside links, ``liens`` its links, ``outils`` the share of function words, ``autocorrelation`` see above,
     ``regularite`` the share of content words whose term recurs densely or evenly,
     ``bourrage`` the share of the text, in characters, that lies in stuffed segments: link entries, runs of
-    words without function words, and segments ruled by terms that recur at short or unnaturally regular gaps.
+    words without function words, segments ruled by terms that recur at short or unnaturally regular gaps, and segments
+    that repeat at the period of the autocorrelation's peak, but for sentences and verse: a refrain is no stuffing.
     """
-    none = {"mots": 0, "outils": 0.0, "autocorrelation": 0.0, "regularite": 0.0, "bourrage": 0.0}
+    none = {"mots": 0, "liens": 0, "outils": 0.0, "autocorrelation": 0.0, "regularite": 0.0, "bourrage": 0.0}
     if not text or not text.strip():
         return none
+    none["liens"] = links = len(LINK.findall(text))
     segments = [s for s in CUT.split(text) if s and s.strip()]
     parsed, at, where = [], 0, defaultdict(list)
     for s in segments:
@@ -75,7 +121,7 @@ def stuffing(text: str | None) -> dict[str, float]:
         return none | {"bourrage": round(share, 6)}
     number = {w: i for i, w in enumerate(where)}
     ids = np.fromiter((number.get(w, -1) for _, ws, _ in parsed for w in ws), "int64", at)
-    period = autocorrelation(ids)
+    period, again = autocorrelation(ids), periodic(ids)
     dense, even = set(), set()
     for w, places in where.items():
         if len(places) >= 4:
@@ -86,9 +132,11 @@ def stuffing(text: str | None) -> dict[str, float]:
                 even.add(w)
     tools = sum(1 for _, ws, _ in parsed for w in ws if w in FUNCTION_WORDS)
     content = sum(map(len, where.values()))
-    stuffed = 0
+    stuffed = start = 0
     for s, words, linked in parsed:
         n = len(words)
+        repeated = int(again[start : start + n].sum())
+        start += n
         f = sum(w in FUNCTION_WORDS for w in words)
         hot = sum(w in dense for w in words)
         steady = sum(w in even for w in words)
@@ -104,15 +152,17 @@ def stuffing(text: str | None) -> dict[str, float]:
             stuffed += len(s)
         elif n <= 6 and f <= 1 and hot + steady:
             stuffed += len(s)
-    return {"mots": at, "outils": round(tools / at, 6), "autocorrelation": round(period, 6), "regularite": round(sum(len(where[w]) for w in dense | even) / max(1, content), 6), "bourrage": round(stuffed / total, 6)}
+        elif n and f < SENTENCE * n and repeated >= PERIODIC * (n - f):
+            stuffed += len(s)
+    return {"mots": at, "liens": links, "outils": round(tools / at, 6), "autocorrelation": round(period, 6), "regularite": round(sum(len(where[w]) for w in dense | even) / max(1, content), 6), "bourrage": round(stuffed / total, 6)}
 
 
 def stuffing_column(text: Column) -> Column:
     """A struct of the measures of ``stuffing``; a null text is like an empty one."""
 
-    @F.pandas_udf("mots long, outils double, autocorrelation double, regularite double, bourrage double")
+    @F.pandas_udf("mots long, liens long, outils double, autocorrelation double, regularite double, bourrage double")
     def measure(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([stuffing(t) for t in texts], columns=["mots", "outils", "autocorrelation", "regularite", "bourrage"])
+        return pd.DataFrame([stuffing(t) for t in texts], columns=["mots", "liens", "outils", "autocorrelation", "regularite", "bourrage"])
 
     return measure.asNondeterministic()(text)  # else a filter on a measure has the texts measured twice
 
@@ -127,4 +177,4 @@ def stuffed_pages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     Null, empty and blank texts are no spam; a null key is kept; other columns are ignored.
     """
     rows = spread(docs.select(key, text)).select(F.col(key).alias(key), stuffing_column(F.col(text)).alias("m")).select(key, "m.*")
-    return rows.withColumn("spam", (F.col("bourrage") > LEAST_STUFFED) & ((F.col("mots") >= 8) | (F.col("mots") == 0)))
+    return rows.withColumn("spam", (F.col("bourrage") > LEAST_STUFFED) & ((F.col("mots") >= 8) | (F.col("liens") > 0)))

@@ -238,3 +238,25 @@ def test_stuffed_pages(spark):
     got = stuffing.stuffed_pages(df)
     assert got.count() == 6 and sorted({r.doc_id for r in got.where("spam").collect()}) == [1, 4]
     assert stuffing.stuffed_pages(df.limit(0)).count() == 0
+
+
+CYCLE = "pompe à chaleur neuve, filtre à charbon actif, radar de recul fiable, verre de lampe solaire, moteur de portail coulissant, clavier de tablette tactile, serrure à code étanche"
+
+
+def test_long_periods_are_stuffed():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    assert stuffing.autocorrelation(np.array(list(range(60)) * 8)) == 1.0
+    for terms in (rng.integers(-1, 6, 300), rng.integers(-3, 90, 500), np.array([1] * 700 + [-1] * 40), np.array([-1, -1, 2])):
+        want = [int(((terms[: len(terms) - k] == terms[k:]) & (terms[: len(terms) - k] >= 0)).sum()) for k in range(len(terms) // 2 + 1)]
+        assert stuffing.agreement(terms).tolist()[1:] == want[1:]
+    assert measure(". ".join([CYCLE] * 8))["bourrage"] > 0.9
+    assert measure("\n".join([CYCLE.replace(", ", "\n")] * 8))["bourrage"] > 0.9
+    refrain = "Quand la lumière décline sur le port et que les marins regagnent leurs maisons, il ne reste au large que le phare et son gardien."
+    assert measure(" ".join([refrain] * 8))["bourrage"] == 0.0
+
+
+def test_short_pages_of_links(spark):
+    df = spark.createDataFrame([(1, "https://a.test/1 pompe\nhttps://a.test/2 filtre"), (2, "pompe pompe pompe"), (3, "https://a.test/1 https://a.test/2"), (4, "Voir la pompe.")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in stuffing.stuffed_pages(df).where("spam").collect()) == [1, 3]
