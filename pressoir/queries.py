@@ -489,6 +489,29 @@ def normalizer_stats(spark, d):
     return metrics.normalizer_stats(_roots(spark, d))
 
 
+# the same of French stems, which DuckDB can't follow
+
+
+@query()
+def stem_shared_roots(spark, d):
+    return metrics.shared_roots(stem_vocab(spark, d))
+
+
+@query()
+def stem_most_shared_roots(spark, d):
+    return metrics.shared_roots(stem_vocab(spark, d)).orderBy(F.col("mots").desc(), "racine").limit(10)
+
+
+@query()
+def stem_root_histogram(spark, d):
+    return metrics.root_histogram(stem_vocab(spark, d))
+
+
+@query()
+def stem_normalizer_stats(spark, d):
+    return metrics.normalizer_stats(stem_vocab(spark, d))
+
+
 # sources and sinks
 
 

@@ -1,11 +1,13 @@
 """Queries that do the whole job where SQL can follow a part only, against brute force on a hand-made archive."""
 
 import re
+from collections import Counter
 from datetime import datetime
 
 import pytest
 
 from pressoir import queries
+from pressoir.functions.stem import stem
 from pressoir.schema import DOCUMENT
 
 ROWS = [
@@ -80,3 +82,16 @@ def test_correction_of_every_word(spark, folder):
 def test_sentences_are_corrected_by_every_zone(spark, folder):
     got = {(r.query_id, r.piece): (r.correction, r.methode) for r in queries.correct_sentences(spark, folder).collect()}
     assert {k: v for k, v in got.items() if v[1] != "SYMBOLE"} == {(i, w): corrected(w) for i, t in enumerate(ASKED) for w in words(t)}
+
+
+def test_statistics_of_stems(spark, folder):
+    root = {w: stem(w) for w in LEXICON if w.isalpha()}
+    shared_by = Counter(root.values())
+    assert max(len(r) for r in root.values()) > 4 and max(shared_by.values()) > 1
+    assert {r.racine: r.mots for r in queries.stem_shared_roots(spark, folder).collect()} == shared_by
+    most = [(r.racine, r.mots) for r in queries.stem_most_shared_roots(spark, folder).collect()]
+    assert most == sorted(shared_by.items(), key=lambda x: (-x[1], x[0]))[:10]
+    counts = Counter(shared_by.values())
+    assert {(r.mots, r.racines, r.part) for r in queries.stem_root_histogram(spark, folder).collect()} == {(k, v, round(v / len(shared_by), 6)) for k, v in counts.items()}
+    stats = queries.stem_normalizer_stats(spark, folder).first()
+    assert tuple(stats) == (len(root), len(shared_by), sum(w == r for w, r in root.items()), round(1 - len(shared_by) / len(root), 6))
