@@ -27,6 +27,12 @@ def suffixes(df: DataFrame, key: str, text: str, longest: int) -> DataFrame:
     return rows.select("suffix", "record", F.lit(1).cast("long").alias("poids"))
 
 
+def most_tokens(df: DataFrame, text: str) -> int:
+    """The number of tokens of the longest text, at least 1: the length up to which there are n-grams."""
+    tokens = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    return max(1, df.where(F.col(text).isNotNull()).agg(F.max(F.size(tokens))).first()[0] or 0)
+
+
 def _intervals(longest: int):
     """Scan one sorted slice of the suffix array; give partial counts of its n-grams.
 

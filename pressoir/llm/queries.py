@@ -74,6 +74,13 @@ def p6_ngrams(spark: SparkSession, d: str) -> DataFrame:
     return frequencies.gram_frequencies(frequencies.suffixes(asked, "query_id", "raw_query", 3), 3)
 
 
+def p6_ngrams_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The same of every length: the suffixes run to the end of the text."""
+    asked = table(spark, d, "requetes").select("query_id", "raw_query").distinct()
+    longest = frequencies.most_tokens(asked, "raw_query")
+    return frequencies.gram_frequencies(frequencies.suffixes(asked, "query_id", "raw_query", longest), longest)
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.boilerplate_lines(table(spark, d, "bulletins"))
 
@@ -139,6 +146,12 @@ SQL: dict[str, str] = {
         k AS (SELECT query_id, t, i, unnest([1, 2, 3]) AS n FROM p),
         x AS (SELECT query_id, n, array_to_string(t[i:i + n - 1], ' ') AS gram FROM k WHERE i + n - 1 <= len(t))
         SELECT gram, n, count(*) AS occurrences, count(DISTINCT query_id) AS records FROM x GROUP BY ALL""",
+    "p6_ngrams_whole": """WITH q AS (SELECT DISTINCT query_id, raw_query FROM requetes WHERE query_id IS NOT NULL AND raw_query IS NOT NULL),
+        w AS (SELECT query_id, regexp_extract_all(lower(raw_query), '[\\p{L}\\p{N}_]+') AS t FROM q),
+        p AS (SELECT query_id, t, unnest(range(1, len(t) + 1)) AS i FROM w),
+        k AS (SELECT query_id, t, i, unnest(range(1, len(t) - i + 2)) AS n FROM p),
+        x AS (SELECT query_id, CAST(n AS INT) AS n, array_to_string(t[i:i + n - 1], ' ') AS gram FROM k)
+        SELECT gram, n, count(*) AS occurrences, count(DISTINCT query_id) AS records FROM x GROUP BY ALL""",
 }
 
 QUERIES: dict[str, Query] = {k: v for k, v in globals().items() if k.startswith("p") and k[1:2].isdigit()}
