@@ -166,8 +166,8 @@ def frame_lines(page: str | None, weights: np.ndarray, common: frozenset[str] =
 
     The page is read as a tree: lines are leaves; a line that opens a box of links and the short lines after it are
     one node, as are runs of text lines with the headings before them. A leaf's link characters are its
-    characters times the chance, under the link model, that its words stand in a frame. Nodes below the body path's density threshold
-    are frame; the rest is the subtree of largest density sum. A short line after the opening of a box stays outside it
+    characters times the chance, under the link model, that its words stand in a frame. Densities are not summed and no subtree of
+    largest sum is selected: the link model decides, and the density threshold only makes frame of leaves that it doubts. A short line after the opening of a box stays outside it
     where it names the article's own topic, a word of several of its text lines that is not ``common`` to pages everywhere.
     """
     if not page:
