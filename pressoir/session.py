@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,12 +17,14 @@ SCRATCH_CONF = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as the session names it.
 
-    Only where ``spark.checkpoint.dir`` is unset (tests, one machine) an own temporary
-    folder is made and remembered for the session.
+    Only where ``spark.checkpoint.dir`` is unset on one machine (tests) an own temporary
+    folder is made and remembered for the session. On a cluster it must be set: RuntimeError.
     """
     named = spark.conf.get(SCRATCH_CONF, None)
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError(f"set {SCRATCH_CONF} to a folder that all executors share")
     own = spark.conf.get("spark.pressoir.scratch", None)
     if not own:
         own = "file://" + tempfile.mkdtemp(prefix="pressoir-")
@@ -52,12 +57,20 @@ def spread(df: DataFrame, times: int = 3) -> DataFrame:
 def hash_sample(df: DataFrame, text: str, most: int) -> DataFrame:
     """(text): at most ``most`` distinct values, those of least hash; the same for the same values, however often each is repeated.
 
-    Only hashes are shuffled to find the bound; then each value below it is kept once.
+    Each task keeps its ``most`` least hashes, and only these are shuffled to find the bound; then each value below it is kept once.
     """
+
+    def least_of_task(batches):
+        kept = np.empty(0, "int64")
+        for pdf in batches:
+            kept = np.unique(np.concatenate([kept, pdf["h"].to_numpy("int64")]))[:most]
+        yield pd.DataFrame({"h": kept})
+
     h = F.xxhash64(text)
-    least = df.where(F.col(text).isNotNull()).select(h.alias("h")).distinct().orderBy("h").limit(most)
+    rows = df.where(F.col(text).isNotNull())
+    least = rows.select(h.alias("h")).mapInPandas(least_of_task, "h long").distinct().orderBy("h").limit(most)
     bound = least.agg(F.max("h")).first()[0]
-    kept = df.where(F.col(text).isNotNull() & (h <= F.lit(bound) if bound is not None else F.lit(False)))
+    kept = rows.where(h <= F.lit(bound) if bound is not None else F.lit(False))
     return kept.select(h.alias("h"), text).groupBy("h").agg(F.first(text).alias(text)).orderBy("h").select(text)
 
 
