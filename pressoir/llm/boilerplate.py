@@ -5,8 +5,7 @@ from __future__ import annotations
 import html
 import math
 import re
-import unicodedata
-import zlib
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -14,315 +13,332 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import hash_sample, materialize, spread
-from .encodings import CHAINS, undo
-
-#: Most lines of labelled pages that the link model is fitted on, taken by hash of the page; the bound of the sample.
-SAMPLE_LINES = 20_000
-DIM = 1 << 15
-
-# Phrases that frames of French pages are made of; the model's examples where few pages carry mark-up.
-FRAME_PHRASES = [
-    "Accueil", "Contact", "Plan du site", "Menu", "Ouvrir le menu principal", "Aller au contenu", "Passer la navigation", "Recherche avancée", "Rechercher sur le site", "Chercher dans le site", "OK", "Valider", "Envoyer",
-    "Se connecter", "S'inscrire / Se connecter", "Identifiez-vous", "Mon compte", "Boutique", "Abonnement", "Archives", "Annuaire", "Agenda", "Emploi", "Espace", "Partenaires", "Dossiers", "Thèmes", "Régions", "Vidéos", "Podcasts",
-    "Le mag", "Laboratoires", "Ressources", "Énergie", "Santé", "À propos", "English version", "Lettre d'information", "Accueil > Dossiers > Régions", "Accueil - Contact - Boutique", "Accueil | Contact | Plan du site", "Accueil / Vidéos / Thèmes",
-    "Accueil · Régions · Agenda", "Vous êtes ici : Accueil, Contact", "Retour à : Dossiers, Emploi", "Rubriques : Santé, Énergie", "Accueil Vidéos Agenda Emploi", "Nous et nos 12 partenaires stockons des traceurs sur votre terminal afin de personnaliser les contenus.",
-    "Cette page dépose des cookies de statistiques.", "Ce site utilise des cookies pour mesurer son audience. En poursuivant, vous en acceptez le dépôt.", "En naviguant sur ce site vous consentez à l'emploi de témoins de connexion. Fermer",
-    "Votre vie privée compte pour nous", "Vous pouvez à tout moment retirer votre accord dans la page Confidentialité.", "Tout accepter", "Tout refuser", "Continuer sans accepter", "Paramétrer", "J'accepte", "J'ai compris", "En savoir plus", "Fermer",
-    "Gérer mes préférences de confidentialité", "Partager", "Imprimer", "Envoyer à un ami", "0 partages | 9 commentaires", "Publicité", "- Annonce -", "La suite après cette publicité", "Contenu sponsorisé par", "Suivez-nous : Flux RSS, lettre, alertes",
-    "Recevez chaque lundi la lettre : votre adresse ici", "Toute l'actualité", "Les plus lus", "1. Un article", "Sur le même thème", "Dans la même rubrique", "Voir aussi", "Articles liés", "À lire aussi : un article", "À la une ailleurs",
-    "Un titre – Un début. Lire la suite", "Archives par mois", "Avril 2012 (41)", "Derniers numéros", "Nuage de mots-clés : mesure, énergie, santé", "Laisser un commentaire", "Nom (obligatoire)", "Courriel (non publié)", "Haut de page", "Retour en haut",
-    "Signaler un problème sur cette page", "Mentions légales", "Mentions légales | Plan du site | Nous contacter | Conditions d'utilisation", "Politique de confidentialité", "Crédits", "Copyright", "© 2012 - Tous droits réservés", "RSS", "Version imprimable",
-    "Réalisation : studio", "Accessibilité : non conforme", "Le journal est édité par l'association. ISSN 1234-5678", "Le journal, 18 rue des Essais, Paris", "Toute reproduction est soumise à l'accord de la rédaction.", "Le journal n° 12 - 8 mars 2013",
-]
-# Lines of articles, of the kinds that frames hold none of.
-TEXT_PHRASES = [
-    "– une pompe durable", "– un filtre souple (12 %)", "* un filtre", "- [ ] un filtre", "1. Mesure", "E = k × v²", "V = k × I²", "Q = k × n²", "seuil = lire(12)", "if seuil < 3:", "    alerte(seuil)", "├── mesures", "│   └── brutes",
-    "└── figures", "Le dossier est rangé ainsi :", "Méthode", "Contexte", "Limites", "Résultats", "Résumé", "En bref", "Et ensuite ?", "Et demain ?", "Des essais concluants", "Trois questions restent ouvertes", "== Contexte ==", "### Méthode ###", "```", "~~~", "=====",
-    "\\begin{itemize}", "\\item un filtre", "\\end{itemize}", "\\section{Contexte}", "Les cookies des sites marchands ont servi de matière à l'étude de l'université.", "La publicité pour ces appareils reste rare dans la presse.",
-    "Le menu proposé aux volontaires comprenait du pain.", "Les abonnés au réseau de chaleur recevront une lettre avant chaque campagne de mesure.", "Le droit d'auteur sur les données fait l'objet d'un chapitre.", "Le partage des relevés entre stations réduit l'erreur de moitié.",
-    "L'archive sonore compte 1 200 heures ; l'accueil du public est prévu au printemps.", "Le fichier mesure.csv se trouve dans C:\\donnees.", "Écrire à la rédaction <redaction@site.example> avant la fin du mois.", "Le test donne p < 0,05 dans 8 cas sur 10.",
-]
-#: Lines that open a box of links to other articles: the short lines after them are its entries.
-BOX = re.compile(r"^(sur le meme theme|dans la meme rubrique|voir aussi|articles? lies|a lire( aussi)?|les plus (lus|vus|commentes)|derniers articles|nos autres articles|lire aussi|en relation)\s*:?$")
-#: Lines that are links to articles by their first words, the opening of teasers, and a teaser: a title, a dash and a beginning.
-LEAD = re.compile(r"^(a lire aussi|lire aussi|voir aussi|a lire egalement)\s*:")
-MORE = re.compile(r"\b(lire la suite|lire l'article|voir la suite)\W*$")
-TEASERS = re.compile(r"^(a la une|ailleurs)\b.{0,20}$")
-TEASER = re.compile(r"^[^.!?]{12,110} [–-] [^\W\d_«]*\s*\w")
-BULLET = re.compile(r"\s*(?:[–•├│└\\#`~=]|\*+ |- \[|==)|\s{2,}\S|\w = ")
-#: Chance of a link from which a line is one.
-LEAST_LINK = 0.85
-NUMBERED = re.compile(r"^\s*\d+[.)] ")
-TAG = re.compile(r"<!--.*?(?:-->|$)|</?[a-zA-Z][^<>]*(?:>|$)")
-WRAP = re.compile(r'^\s*(?:<div class="?(?:nav|menu|footer|pied|sidebar)|<td\b|<li>\s*<a href="?/|<nav\b|<footer\b|<form\b|<div id="?(?:entete|header|menu|pied|footer|nav)|<tr\b|<table\b)', re.I)
-KEEP = re.compile(r"^\s*</?(?:ul|ol|li|pre|code|p|h\d|br|blockquote|syntaxhighlight|math|em|i|b|strong|sup|sub|ref|span|article|dl|dt|dd)\b", re.I)
+from ..session import hash_sample, spread
 
+#: Most pages with frame mark-up, with article mark-up only, and of any kind that the link model is fitted on, and the longest page of that
+#: sample in characters; together the bound of what comes to the driver. The operator itself reads every page whole.
+FRAMED_PAGES, MARKED_PAGES, OTHER_PAGES, SAMPLE_CHARS = 700, 150, 600, 20_000
 
-def fold(text: str) -> str:
-    """Lower case without accents; a lost letter reads as e, the commonest accented one."""
-    text = unicodedata.normalize("NFKD", text.replace("’", "'").replace("œ", "oe").replace("\ufffd", "e"))
-    return "".join(c for c in text if not unicodedata.combining(c)).lower()
+TAG = re.compile(r"<!--.*?(?:-->|$)|</?[a-zA-Z][^<>]*(?:>|$)")
+#: Mark-up that by HTML's own terms makes a line navigation: a landmark, a layout cell, a list entry that is nothing but a link within the site.
+FRAMED = re.compile(r'\s*(?:<(?:nav|footer|aside|form|header)\b|<div\s+(?:class|id)="?(?:nav|menu|foot|pied|head|entete|side|banner|breadcrumb)|<t[dr]\b|<table\b|<li[^>]*>\s*<a\s[^>]*href="?/)', re.I)
+FRAMED_SQL = r'(?i)(^|\n)\s*(<(nav|footer|aside|form|header)\b|<div\s+(class|id)="?(nav|menu|foot|pied|head|entete|side|banner|breadcrumb)|<td\b|<li[^>]*>\s*<a\s[^>]*href="?/)'
+#: Mark-up of running text.
+MARKED = re.compile(r"\s*</?(?:p|h[1-6]|pre|ul|ol|dl|blockquote|code|syntaxhighlight|math|article)\b", re.I)
+MARKED_SQL = r"(?i)(^|\n)\s*<(p|h[1-6])\b"
+#: Opening of list entries, trees, code and other blocks that are no links.
+ENTRY = re.compile(r"\s*(?:[–•├│└\\#~=*+`]|- \[)\S*\s|\s*(?:```|~~~)|\s{2,}\S")
+_digits = re.compile(r"\d+")
+_atom = re.compile(r"[a-z]+|0|[|·>/»©:?=(]")
+_end = re.compile(r"[.!?…][\s»\"')]*$")
+_shut = re.compile(r"\s*</div", re.I)
+_div = re.compile(r"\s*<div", re.I)
+
+
+class Line:
+    """A leaf of the page: its number, text, atoms (runs of plain letters, so that a wrong encoding changes little), kind and mark-up."""
+
+    __slots__ = ("number", "raw", "words", "tags", "atoms", "kind", "follows", "own", "label")
+
+    def __init__(self, number: int, raw: str):
+        self.number, self.raw, self.tags = number, raw, 0
+        words = raw
+        if "<" in raw:
+            words, self.tags = TAG.subn(" ", raw)
+        if "&" in words:
+            words = html.unescape(words)
+        self.words = words = words.strip()
+        self.atoms = _atom.findall(_digits.sub("0", words.lower()))
+        if len(words) > 55 and _end.search(words):
+            self.kind = "sentence"
+        else:
+            self.kind = "bare" if not self.atoms else "entry" if ENTRY.match(raw) or ENTRY.match(words) else "short" if len(words) <= 110 else "long"
+        self.follows, self.own, self.label = "end", 0, None
+
+
+def read(page: str) -> list[Line]:
+    """The non-blank lines of a page. ``own`` tells how many of a short line's words the page's sentences share among themselves."""
+    lines = [Line(i, raw) for i, raw in enumerate(page.split("\n")) if raw.strip()]
+    held: Counter = Counter()
+    sentences = 0
+    for x in lines:
+        if x.kind == "sentence":
+            sentences += 1
+            held.update({t for t in x.atoms if len(t) > 4})
+    least = max(2, 0.25 * sentences)
+    topic = {t for t, n in held.items() if n >= least}
+    inside: list[int] = []
+    for k, x in enumerate(lines):
+        if k + 1 < len(lines):
+            x.follows = lines[k + 1].kind
+        if x.kind != "sentence":
+            x.own = min(2, len({t for t in x.atoms if len(t) > 4} & topic))
+        if x.tags:
+            if not x.words and _shut.match(x.raw):
+                x.label = inside.pop() if inside else 1
+            else:
+                x.label = 1 if FRAMED.match(x.raw) else 0 if MARKED.match(x.raw) else None
+                if not x.words and _div.match(x.raw):
+                    inside.append(x.label or 0)
+    return lines
+
+
+def shape(x: Line) -> list:
+    """Features of a line by itself."""
+    a = x.atoms
+    out: list = [*set(a), *set(zip(a, a[1:]))]
+    if a:
+        out += [("^", a[0]), (a[-1], "$")]
+    out += [("size", min(len(x.words) // 20, 9)), ("atoms", min(len(a), 9)), ("kind", x.kind), ("own", x.own), ("follows", x.kind, x.follows)]
+    if " – " in x.words or " - " in x.words:
+        out.append("dash")
+    return out
 
 
-_odd = re.compile("[^\x00-\x7féèêëàâîïôöûùüçœæÉÈÊÀÂÎÔÛÙÇŒ«»’‘“”–—…€²³°½£µ×±√·©§\xa0]")
+def context(x: Line, before: Line | None, linked: int | None, opener: tuple) -> list:
+    """Features of a line next to the line before, which is a link (1), text (0) or missing (None); ``opener`` is the end of the last line that is a link by its own words."""
+    last = ("last", linked, *before.atoms[-2:]) if before is not None and len(before.words) < 45 else ("last", linked)
+    return [("after", linked), ("after", linked, x.kind, x.own), ("after", linked, x.kind, x.own, x.follows), last, ("opener", linked, opener, x.kind, min(x.own, 1))]
+
+
+class Links:
+    """Chance that a line is a link or other frame: a logistic chain over a page's lines."""
+
+    def __init__(self, weights: dict, bias: float):
+        self.weights, self.bias, self.seen = weights, bias, {}
+
+    def own(self, x: Line) -> float:
+        """Log odds of a line by itself; short lines recur, so theirs are kept."""
+        if x.kind == "sentence":
+            get = self.weights.get
+            return self.bias + sum([get(f, 0.0) for f in shape(x)])
+        key = (x.words, x.kind, x.own, x.follows)
+        got = self.seen.get(key)
+        if got is None:
+            if len(self.seen) > 50_000:
+                self.seen.clear()
+            get = self.weights.get
+            got = self.seen[key] = self.bias + sum([get(f, 0.0) for f in shape(x)])
+        return got
+
+    def shares(self, lines: list[Line]) -> list[float]:
+        """The chance of each line, from the first on; mark-up that labels a line goes first."""
+        get, out, p, before, opener = self.weights.get, [], None, None, ()
+        for x in lines:
+            z = None
+            if x.label is not None:
+                q = float(x.label)
+            else:
+                z = self.own(x)
+                at = lambda linked: _chance(z + sum([get(f, 0.0) for f in context(x, before, linked, opener)]))  # noqa: B023, E731
+                if p is None:
+                    q = at(None)
+                else:
+                    q = (p * at(1) if p > 0.02 else 0.0) + ((1 - p) * at(0) if p < 0.98 else 0.0)
+            out.append(q)
+            if q > 0.5 and x.kind != "bare" and (z if z is not None else self.own(x)) > 0:
+                opener = tuple(x.atoms[-2:])
+            p, before = q, x
+        return out
+
+
+def _chance(z: float) -> float:
+    return 1 / (1 + math.exp(-z)) if -30 < z < 30 else float(z > 0)
+
+
+def fit(examples: list[tuple[list, float, float]], steps: int = 60, decay: float = 2e-6) -> Links:
+    """Logistic model of (features, link or not, weight): full-batch gradient steps scaled as in AdaGrad, the same for the same examples."""
+    counts = Counter(f for fs, _, _ in examples for f in fs)
+    index = {f: i for i, f in enumerate(f for f, n in counts.items() if n > 1)}
+    rows = [[index[f] for f in fs if f in index] for fs, _, _ in examples]
+    if not rows:
+        return Links({}, -1.0)
+    at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    flat = np.fromiter((i for r in rows for i in r), "int64", len(at))
+    y = np.array([e[1] for e in examples]) * 0.98 + 0.01
+    share = np.array([e[2] for e in examples])
+    share = share / share.sum()
+    w, b, grown, grown_b = np.zeros(len(index)), 0.0, np.full(len(index), 1e-7), 1e-4
+    for _ in range(steps):
+        z = np.bincount(at, w[flat], minlength=len(rows)) + b
+        d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * share
+        g = np.bincount(flat, d[at], minlength=len(w)) + decay * w
+        grown += g * g
+        w -= 0.125 * g / np.sqrt(grown)
+        grown_b += d.sum() ** 2
+        b -= 0.1 * d.sum() / math.sqrt(grown_b)
+    return Links({f: float(w[i]) for f, i in index.items() if abs(w[i]) > 0.01}, float(b))
+
+
+def examples_of(lines: list[Line], labels: list[float | None], sure: float = 1.0) -> list[tuple[list, float, float]]:
+    """Examples of a page whose lines are labelled, as far as they are; each stands after the label before it."""
+    out, linked, before, opener = [], None, None, ()
+    for x, y in zip(lines, labels):
+        if y is not None:
+            hard = int(y > 0.5)
+            out.append((shape(x) + context(x, before, linked, opener), float(hard), sure * (1.0 if abs(y - 0.5) > 0.4 else 0.3)))
+            linked = hard
+            if hard and x.kind not in ("bare", "sentence"):
+                opener = tuple(x.atoms[-2:])
+        before = x
+    return out
 
 
-def mend(line: str) -> str:
-    """The line with a wrong encoding undone where one chain leaves no odd sign; only for comparing."""
-    if not _odd.search(line):
-        return line
-    line = line.replace("Ã ", "Ã\xa0")  # the no-break space of a garbled à became a blank
-    read = [got for _, steps in CHAINS if (got := undo(line, steps)) != line and not _odd.search(got)]
-    return min(read, key=len, default=line)
+def link_model_of(pages: list[str], rounds: int = 1) -> Links:
+    """The link model of sample pages: fitted on the lines that mark-up labels, with list entries, code and sentences between
+    sentences as text; then again with all pages as it reads them itself, so that words of plain pages come in."""
+    read_pages = [lines for p in pages if (lines := read(p))]
+    base, plain = [], []
+    for lines in read_pages:
+        labels: list[float | None] = [x.label for x in lines]
+        if 1 in labels or 0 in labels:
+            near = [next((y for y in labels[k + step :: step] if y is not None), None) if 0 <= k + step else None for k in range(len(lines)) for step in (-1, 1)]
+            labels = [0.0 if y is None and (x.kind == "entry" or x.kind == "sentence" and near[2 * k] == near[2 * k + 1] == 0) else y for k, (x, y) in enumerate(zip(lines, labels))]
+            base += examples_of(lines, labels)
+        else:
+            plain.append(lines)
+    seeds = []
+    for lines in plain:
+        full = [k for k, x in enumerate(lines) if x.kind == "sentence"]
+        for k, x in enumerate(lines):
+            if x.kind == "entry" or full and full[0] < k < full[-1] and x.kind == "sentence":
+                seeds.append((shape(x) + (context(x, lines[k - 1], 0, ()) if k and lines[k - 1].kind == "sentence" else []), 0.0, 1.0))
+
+    def weighed(more: list, ratio: float) -> list:
+        mass = sum(e[2] for e in more)
+        scale = ratio * max(1, len(base)) / mass if mass else 0.0
+        return base + [(f, y, w * scale) for f, y, w in more]
+
+    model = fit(weighed(seeds, 1.0))
+    for _ in range(rounds if base else 0):
+        again = []
+        for lines in plain:
+            again += examples_of(lines, [0.0 if x.kind == "entry" else p for x, p in zip(lines, model.shares(lines))])
+        model = fit(weighed(again, 3.0))
+    return model
+
+
+def density(chars: float, tags: float, links: float, linked_tags: float, ratio: float) -> float:
+    """Composite text density of a node: characters per tag, adjusted by the shares of characters and tags that are links.
+
+    ``links`` and ``linked_tags`` are the link characters and link tags, ``ratio`` the body's link characters per character.
+    """
+    if chars <= 0:
+        return 0.0
+    tags, linked, free = max(1.0, tags), max(1.0, links), max(1.0, chars - links)
+    base = math.log(chars / free * links + ratio * chars + math.e)
+    value = max(1.0, chars / linked * tags / max(1.0, linked_tags))
+    return chars / tags * math.log(value) / max(math.log(base), 0.1)
 
 
-def plain(line: str) -> str:
-    """The words of a line: tags and entities gone, encoding mended."""
-    return mend(html.unescape(TAG.sub(" ", line))).strip()
+class Node:
+    """A node of the page's tree with its sums: characters, tags, link characters, link tags, density and the sum of its children's densities."""
 
+    def __init__(self, thin: bool = False) -> None:
+        self.thin = thin
+        self.members: list[int] = []
+        self.chars = self.tags = self.links = self.linked_tags = self.density = self.sum = 0.0
 
-def features(words: str, raw: str) -> list[int]:
-    """Hashed features of a line of text: its words, pairs of words and shape."""
-    folded = re.sub(r"\d+", "0", fold(words))
-    toks = re.findall(r"[a-z]+|0|[^\sa-z]", folded)
-    out = [f"w{t}" for t in set(toks)]
-    out += [f"b{a} {b}" for a, b in zip(toks, toks[1:])]
-    n = sum(t.isalpha() for t in toks)
-    size = len(words)
-    out += [f"n{min(n, 12)}", f"s{min(size // 25, 8)}", f"f{toks[0] if toks else ''}", f"e{' '.join(toks[-2:])}"]
-    seps = sum(words.count(c) for c in "|·>/»") + words.count(" - ")
-    out += [f"p{min(seps, 3)}", "dot" if re.search(r"[.!?…]\W*$", words) else "nodot", f"caps{sum(w[:1].isupper() for w in words.split()) * 4 // max(1, len(words.split()))}"]
-    if re.match(r"\s*[–•*├│└\\#`~=]|\s*- \[", raw):
-        out.append("bullet")
-    if re.match(r"\s{2,}\S", raw) or re.search(r"\w\(|[<=]\s*\d|[=;{}]$", raw):
-        out.append("code")
-    if re.search(r"\w = \w", words):
-        out.append("formula")
-    if size > 110 and toks and "dot" in out:
-        out.append("sentence")
-    return [zlib.crc32(x.encode()) % DIM for x in set(out)]
+    def add(self, k: int, chars: float, tags: float, share: float, own: float) -> None:
+        self.members.append(k)
+        self.chars += chars
+        self.tags += tags
+        self.links += chars * share
+        self.linked_tags += tags * share
+        self.sum += own
 
 
-def labelled(pages: list[str]) -> list[tuple[list[int], int]]:
-    """Lines of pages whose mark-up tells frame (1) from article (0).
+#: Density below which a line is thin, a character of it and at most; share of the body-path threshold that a node must reach.
+THIN_CHAR, THIN, PATH = 0.3, 9.0, 0.2
 
-    Entries of boxes of links are left out: their words are titles, as headings of articles are.
-    """
-    out = []
-    for page in pages:
-        box = False
-        for raw in page.split("\n"):
-            words = plain(raw)
-            if not words:
-                continue
-            if WRAP.match(raw):
-                opens = BOX.match(fold(words)) is not None
-                if not box or opens:
-                    out.append((features(words, words), 1))
-                elif len(words) < 28:
-                    box = False
-                box = box or opens
-            elif re.match(r"\s*<(?:p|h\d|pre|li)\b", raw, re.I) or re.search(r"</(?:p|h\d|li)>\s*$|<br\s*/?>\s*$", raw, re.I):
-                box = False
-                out.append((features(words, words), 0))
-    return out
 
+def frame_lines(page: str | None, links: Links) -> list[int]:
+    """Numbers of the lines that are not part of the article, counted from 0; blank lines are never given.
 
-def fit(examples: list[tuple[list[int], int]], epochs: int = 6) -> np.ndarray:
-    """Weights of a logistic model of 'belongs to the frame', by stochastic gradient with AdaGrad steps; the last weight is the bias."""
-    seeds = [(features(t, t), y) for texts, y in ((FRAME_PHRASES, 1), (TEXT_PHRASES, 0)) for t in texts]
-    data = seeds * 3 + examples
-    w, g = np.zeros(DIM + 1), np.full(DIM + 1, 1e-2)
-    rng = np.random.default_rng(7)
-    rows = [(np.array([*f, DIM]), y) for f, y in data]
-    for _ in range(epochs):
-        for i in rng.permutation(len(rows)):
-            f, y = rows[i]
-            d = 1 / (1 + math.exp(-max(-30.0, min(30.0, w[f].sum())))) - y
-            if abs(d) < 0.01:
-                continue
-            g[f] += d * d
-            w[f] -= 0.3 * d / np.sqrt(g[f])
-    return w
-
-
-def density(chars: float, tags: float, links: float, ratio: float) -> float:
-    """Composite text density of a node: characters per tag, adjusted by the share of characters that are links.
-
-    ``links`` is the number of link characters, ``ratio`` the body's link characters per character.
+    The page is a tree: the body, nodes, lines. A line's composite text density comes from its characters, its tags (each line is a
+    block, hence one tag at least) and its link characters, that is its characters times the chance that it is a link. Neighbouring lines above the
+    density of a thin line form one node, and so do neighbouring thin lines. The densities of a node's lines are summed; the node of largest sum
+    is the article's core, and the path from it to the body gives the threshold, the least density on it. Nodes that reach the share PATH of
+    the threshold are the article, with all their lines; all others are frame. A page all of whose lines are thin has no article.
     """
-    other, linked = max(1.0, chars - links), max(1.0, links)
-    base = math.log(chars / other * links + ratio * chars + math.e)
-    value = max(1.0, chars / linked * tags / max(1.0, tags * links / max(1.0, chars)))
-    return chars / max(1.0, tags) * math.log(value) / max(math.log(base), 0.1) if base > 1.0001 else 0.0
-
+    lines = read(page) if page else []
+    if not lines:
+        return []
+    shares = links.shares(lines)
+    body = Node()
+    for k, (x, p) in enumerate(zip(lines, shares)):
+        body.add(k, len(x.words), x.tags + 1, p, 0.0)
+    ratio = body.links / max(1.0, body.chars)
+    body.density = density(body.chars, body.tags, body.links, body.linked_tags, ratio)
+    # mark-up lines without words take the density of what they wrap
+    own = [density(len(x.words), 1, len(x.words) * p, p, ratio) if x.words else (0.0 if p > 0.5 else math.inf) for x, p in zip(lines, shares)]
+    nodes: list[Node] = []
+    for k, (x, p, d) in enumerate(zip(lines, shares, own)):
+        thin = d < min(THIN, THIN_CHAR * max(1, len(x.words)))
+        if not nodes or nodes[-1].thin != thin:
+            nodes.append(Node(thin))
+        nodes[-1].add(k, len(x.words), x.tags + 1, p, 0.0 if d == math.inf else d)
+    for n in nodes:
+        n.density = density(n.chars, n.tags, n.links, n.linked_tags, ratio) if n.chars else (math.inf if own[n.members[0]] == math.inf else 0.0)
+    core = max((n for n in nodes if not n.thin), key=lambda n: n.sum, default=None)
+    threshold = min(body.density, core.density) if core else math.inf
+    return [lines[k].number for n in nodes if n.density < PATH * threshold for k in n.members]
 
-GENERIC = frozenset("methode contexte limites resultats resume conclusion introduction perspectives".split())
 
+def link_model(pages: DataFrame, text: str = "texte") -> Links:
+    """The link model, fitted on the driver on a sample of pages taken by hash: FRAMED_PAGES, MARKED_PAGES and OTHER_PAGES pages of at most SAMPLE_CHARS characters."""
+    able = pages.where(F.length(text) <= SAMPLE_CHARS)
+    framed, marked = F.col(text).rlike(FRAMED_SQL), F.col(text).rlike(MARKED_SQL)
+    parts = [(able.where(framed), FRAMED_PAGES), (able.where(marked & ~framed), MARKED_PAGES), (able.where(~framed & ~marked), OTHER_PAGES)]
+    return link_model_of([r[0] for rows, most in parts for r in hash_sample(rows, text, most).toLocalIterator()])
 
-def frame_lines(page: str | None, weights: np.ndarray, common: frozenset[str] = frozenset()) -> list[int]:
-    """Numbers of the lines that are not part of the article, counted from 0; blank lines are never given.
 
-    The page is read as a tree: lines are leaves; a line that opens a box of links and the short lines after it are
-    one node, as are runs of text lines with the headings before them. A leaf's link characters are its
-    characters times the chance, under the link model, that its words stand in a frame. Densities are not summed and no subtree of
-    largest sum is selected: the link model decides, and the density threshold only makes frame of leaves that it doubts. A short line after the opening of a box stays outside it
-    where it names the article's own topic, a word of several of its text lines that is not ``common`` to pages everywhere.
-    """
-    if not page:
-        return []
-    raws = page.split("\n")
-    nodes: list[dict] = []
-    inside: list[bool] = []  # open divs: whether of the frame
-    code = False
-    for i, raw in enumerate(raws):
-        if not raw.strip():
-            continue
-        words = plain(raw)
-        tags = len(TAG.findall(raw))
-        node = {"i": i, "raw": raw, "words": words, "tags": tags + 1, "kind": ""}
-        if not words and tags:
-            low = raw.lower()
-            if low.lstrip().startswith("</div"):
-                node["kind"] = "frame" if not inside or inside.pop() else "text"
-            elif "<div" in low:
-                inside.append(bool(WRAP.match(raw)))
-                node["kind"] = "frame" if inside[-1] else "text"
-            elif KEEP.match(raw):
-                node["kind"] = "text"
-            else:
-                node["kind"] = "frame"
-        elif WRAP.match(raw):
-            node["kind"] = "frame"
-        elif code or re.match(r"\s*(?:<pre|```|~~~|<syntaxhighlight|\\begin\{(?:verbatim|lstlisting))", raw) or re.search(r"<pre", raw):
-            node["kind"] = "text"
-        if re.search(r"<pre|<syntaxhighlight|\\begin\{(?:verbatim|lstlisting)", raw) and not re.search(r"</pre|</syntaxhighlight", raw):
-            code = True
-        elif re.search(r"</pre|</syntaxhighlight|\\end\{(?:verbatim|lstlisting)", raw):
-            code = False
-        elif re.match(r"\s*(?:```|~~~)", raw):
-            code = not code
-        f = features(words, raw if not tags else words)
-        z = float(weights[f].sum() + weights[DIM])
-        node["p"] = 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) if not node["kind"] else float(node["kind"] == "frame")
-        nodes.append(node)
-    if not nodes:
-        return []
-    chars = sum(len(n["words"]) for n in nodes) or 1
-    ratio = sum(len(n["words"]) * n["p"] for n in nodes) / chars
-    topics = Counter()
-    for n in nodes:
-        n["sentence"] = n["p"] < LEAST_LINK and len(n["words"]) > 55 and re.search(r"[.!?…»][\"'</>a-z ]*$", n["words"]) is not None
-        if n["sentence"]:
-            topics.update({w for w in re.findall(r"[a-z]{5,}", fold(n["words"]))})
-    for n in nodes:
-        size = float(len(n["words"]))
-        n["density"] = density(size, n["tags"], size * n["p"], ratio) if size else 0.0
-    held = sum(n["sentence"] for n in nodes)
-    # the article's own topic words: in several of its text lines, and not in pages everywhere
-    own = {w for w, c in topics.items() if c >= max(2, 0.25 * held) and w not in common}
-    body = sorted(n["density"] for n in nodes if n["sentence"])
-    threshold = min(body, default=0.0) * 0.02  # along the path from the densest text to the body
-    state = []
-    for n in nodes:
-        if n["kind"]:
-            state.append("F" if n["kind"] == "frame" else "S")
-        elif n["sentence"] and not MORE.search(fold(n["words"])) or (BULLET.match(n["raw"]) or BULLET.match(n["words"])) and n["p"] < LEAST_LINK or re.match(r"\s*<(?:h\d|p|ul|ol|pre)\b", n["raw"], re.I):
-            state.append("S")
-        elif n["p"] >= LEAST_LINK or LEAD.match(fold(n["words"])) or MORE.search(fold(n["words"])):
-            state.append("F")
-        else:
-            state.append("N")
-    box = counted = False
-    for k, n in enumerate(nodes):
-        if state[k] == "N" and n["p"] > 0.7 and n["density"] < threshold:
-            state[k] = "F"  # its subtree is too thin for the path
-    for k, n in enumerate(nodes):
-        folded = fold(n["words"])
-        if k and state[k] != "F" and not n["kind"] and TEASERS.match(fold(nodes[k - 1]["words"])) and state[k - 1] == "F" and TEASER.match(n["words"]):
-            state[k] = "F"
-            continue
-        if state[k] == "F" and BOX.match(folded):
-            box, counted = True, folded.startswith("les plus")
-            continue
-        words = set(re.findall(r"[a-z]{5,}", folded))
-        heading = bool(words & GENERIC) and len(words) < 3 or folded.endswith("?") and len(folded) < 40
-        if box and not n["kind"] and not n["sentence"]:
-            numbered = NUMBERED.match(n["words"]) is not None
-            title = state[k] == "N" or numbered or state[k] == "F" and n["p"] < 0.95 and len(folded) > 28
-            if title and (numbered if counted else not heading and not (words & own)):
-                state[k] = "F"
-                continue
-        if state[k] != "F" or n["kind"] != "frame":
-            box = False
-        if state[k] == "F" and not n["kind"] and words & own and not re.search(r"[|·/>:©»]|\d", n["words"]) and n["p"] < 0.97:
-            state[k] = "S"  # a heading on the article's own topic
-        elif state[k] == "N":
-            state[k] = "S"
-    return [n["i"] for n, s in zip(nodes, state) if s == "F"]
-
-
-#: Share of pages from which a word is common.
-COMMON = 0.1
-
-
-def common_words(pages: DataFrame, text: str = "texte") -> frozenset[str]:
-    """The words of five letters and more that stand in more than COMMON of all distinct pages, and in more than three.
-
-    Every page counts. Only the words above the share come to the driver: no more than the mean of a page's distinct words, divided by COMMON.
-    """
+_models: dict[str, Links] = {}
 
-    @F.pandas_udf("array<string>")
-    def words(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: ["", *set(re.findall(r"[a-z]{5,}", fold(plain(t))))])  # the empty word counts the pages
 
-    spark = pages.sparkSession
-    parts = max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    each = pages.where(F.col(text).isNotNull()).select(F.col(text).alias("texte")).distinct().repartition(parts)
-    counts = materialize(each.select(F.explode(words("texte")).alias("mot")).groupBy("mot").agg(F.count("*").alias("n")), "mots")
-    total = counts.where("mot = ''").first()
-    if total is None:
-        return frozenset()
-    return frozenset(r.mot for r in counts.where((F.col("n") > max(3, COMMON * total.n)) & (F.col("mot") != "")).toLocalIterator())
+def _shared(model: Links, pages: DataFrame):
+    """The model as every worker reads it, once a process."""
+    sent = pages.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, model.weights, model.bias))
 
+    def get() -> Links:
+        name, weights, bias = sent.value
+        if name not in _models:
+            _models.clear()
+            _models[name] = Links(weights, bias)
+        return _models[name]
 
-def link_model(pages: DataFrame, text: str = "texte") -> tuple[np.ndarray, frozenset[str]]:
-    """The link model, fitted on the driver on at most SAMPLE_LINES lines of pages whose mark-up labels them, and the words common to all pages."""
-    marked = hash_sample(pages.where(F.col(text).rlike(r'class="?nav|<td>|<li><a href="?/')), text, SAMPLE_LINES // 10)
-    examples: list[tuple[list[int], int]] = []
-    for r in marked.toLocalIterator():
-        examples += labelled([r[0]])
-        if len(examples) >= SAMPLE_LINES:
-            break
-    return fit(examples[:SAMPLE_LINES]), common_words(pages, text)
+    return get
 
 
 def boilerplate_lines(pages: DataFrame, key: str = "fichier", text: str = "texte") -> DataFrame:
     """(key, ligne) of every non-blank line that is not part of the article, repeated rows once.
 
-    Pages are read whole, where they lie: no shuffle but to spread a scan of few partitions, and for distinct rows. Null and empty pages give no rows. A page without
-    any text line is frame as far as its lines look like one.
+    Pages are read whole, where they lie: no shuffle but to spread a scan of few partitions, and for distinct rows. Null and empty pages give no rows. A page all of
+    whose lines are thin is frame altogether; one of which no line is gives none.
     """
-    shared = pages.sparkSession.sparkContext.broadcast(link_model(pages, text))
+    model = _shared(link_model(pages, text), pages)
 
     @F.pandas_udf("array<int>")
     def lines(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: frame_lines(t, *shared.value))
+        links = model()
+        return texts.map(lambda t: frame_lines(t, links))
 
     return spread(pages.select(key, text)).where(F.col(text).isNotNull()).select(F.col(key).alias(key), F.explode(lines(text)).alias("ligne")).distinct()
 
 
 def main_text(pages: DataFrame, key: str = "fichier", text: str = "texte") -> DataFrame:
-    """(key, texte, corps): each page with its article's own lines only."""
-    shared = pages.sparkSession.sparkContext.broadcast(link_model(pages, text))
+    """(key, texte, corps): each page with its article's own lines only, rows equal in key and text once; null pages give no rows."""
+    model = _shared(link_model(pages, text), pages)
 
     @F.pandas_udf("string")
     def body(texts: pd.Series) -> pd.Series:
+        links = model()
+
         def one(t: str) -> str:
-            gone = set(frame_lines(t, *shared.value))
+            gone = set(frame_lines(t, links))
             return "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone).strip("\n")
 
         return texts.map(one)
 
-    return pages.where(F.col(text).isNotNull()).select(F.col(key).alias(key), F.col(text).alias("texte")).distinct().withColumn("corps", body("texte"))
+    once = pages.where(F.col(text).isNotNull()).select(F.col(key).alias(key), F.col(text).alias("texte")).dropDuplicates([key, "texte"])
+    return once.withColumn("corps", body("texte"))

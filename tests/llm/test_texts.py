@@ -173,6 +173,16 @@ def test_marked_fields(spark):
 
 FRAME = ["Accueil - Régions - Boutique - Contact", "Se connecter", "Cette page dépose des cookies de statistiques."]
 FOOT = ["Les plus lus", "1. Vers la fin du radar", "2. Un projet de turbine", "Sur le même thème", "Le radar au secours du verre", "Mentions légales", "© 2012 Journal - Tous droits réservés"]
+MENU = ["Accueil", "Régions", "Boutique", "Contact", "Vidéos", "Agenda"]
+
+
+def framed(rng, i):
+    """A page whose mark-up tells frame from article, as the model learns from."""
+    wrap = lambda t: rng.choice([f'<div class="nav">{t}</div>', f'<li><a href="/{i}">{t}</a></li>', f"<td>{t}</td>"])
+    top = [" - ".join(rng.sample(MENU, 4)), rng.choice(FRAME[1:])]
+    foot = ["Les plus lus", *[f"{k + 1}. Vers la fin du {rng.choice(NOUNS)}" for k in range(2)], "Sur le même thème", f"Le {rng.choice(NOUNS)} au secours du verre", "Mentions légales", f"© {2000 + i} Journal - Tous droits réservés"]
+    body = [f"<p>{t}</p>" for t in article(rng, 4).split("\n")]
+    return "\n".join([*map(wrap, top), *body[:2], f"<h2>{rng.choice(['Méthode', 'Limites'])}</h2>", *body[2:], *map(wrap, foot)])
 
 
 def test_frame_lines(spark):
@@ -182,31 +192,37 @@ def test_frame_lines(spark):
     page = "\n".join([*FRAME, "", *body, *FOOT])
     start = len(FRAME) + 1 + len(body)
     want = [0, 1, 2, *range(start, start + len(FOOT))]
-    rows = [("a", "s", None, page), ("a", "s", None, page), ("n", "s", None, None), ("v", "s", None, "\n \n"), ("t", "s", None, article(rng)), ("l", "s", None, "\n".join([sentence(rng)] * 5_000))]
-    rows += [(f"h{i}", "s", None, f'<div class="nav">Accueil</div>\n<li><a href="/{i}">Vidéos</a></li>\n<p>{sentence(rng)}</p>') for i in range(5)]
+    rows = [("a", "s", None, page), ("a", "s", None, page), ("n", "s", None, None), ("v", "s", None, "\n \n"), ("w", "s", None, ""), ("t", "s", None, article(rng)), ("l", "s", None, "\n".join([sentence(rng)] * 5_000)), ("m", "s", None, "\n".join([*FRAME, *FOOT]))]
+    rows += [(f"h{i}", "s", None, framed(rng, i)) for i in range(60)]
     got = {}
     for r in boilerplate.boilerplate_lines(clash(pages(spark, rows))).collect():
         got.setdefault(r.fichier, []).append(r.ligne)
     assert sorted(got.pop("a")) == want
-    assert {k: sorted(v) for k, v in got.items()} == {f"h{i}": [0, 1] for i in range(5)}
+    assert len(got.pop("m")) == len(FRAME) + len(FOOT)
+    assert {k: sorted(v) for k, v in got.items()} == {f"h{i}": [0, 1, *range(7, 14)] for i in range(60)}
     bodies = {r.fichier: r.corps for r in boilerplate.main_text(pages(spark, rows)).collect()}
     assert bodies["a"] == "\n".join(body)
     assert boilerplate.boilerplate_lines(pages(spark, rows).limit(0)).count() == 0
 
 
-def test_common_words_count_every_page(spark):
-    n = 3000
-    name = lambda kind, i: f"{kind}mots" + "abcdefghij"[i // 10] + "abcdefghij"[i % 10]
-    rng = random.Random(3)
-    held = [[] for _ in range(n)]
-    for kind, times in (("commun", n // 10 + 1), ("limite", n // 10)):
-        for i in range(60):
-            for k in rng.sample(range(n), times):
-                held[k].append(name(kind, i))
-    rows = [(f"f{k}", None, None, f"{k} " + " ".join(ws)) for k, ws in enumerate(held)]
-    got = boilerplate.link_model(pages(spark, rows + rows[:500] + [("nul", None, None, None)]))[1]
-    assert got == {name("commun", i) for i in range(60)}
-    assert boilerplate.link_model(pages(spark, rows).limit(0))[1] == frozenset()
+def test_density_decides_the_lines(monkeypatch):
+    rng = random.Random(7)
+    samples = [framed(rng, i) for i in range(60)]
+    links = boilerplate.link_model_of(samples)
+    plain = ["\n".join([*FRAME, *article(rng).split("\n"), *FOOT]) for _ in range(20)]
+    got = [set(boilerplate.frame_lines(p, links)) for p in plain]
+    assert sum(len(x) for x in got) >= 19 * (len(FRAME) + len(FOOT))
+    unlearnt = [set(boilerplate.frame_lines(p, boilerplate.Links({}, -1.0))) for p in plain]
+    assert sum(len(a ^ b) for a, b in zip(got, unlearnt)) > sum(map(len, got)) / 2
+    monkeypatch.setattr(boilerplate, "density", lambda *_: 1.0)
+    flat = [set(boilerplate.frame_lines(p, links)) for p in plain]
+    assert sum(len(a ^ b) for a, b in zip(got, flat)) > sum(map(len, got)) / 2
+
+
+def test_densities():
+    assert boilerplate.density(0, 1, 0, 0, 0.1) == 0.0
+    assert boilerplate.density(100, 1, 100, 1, 0.3) == 0.0 < boilerplate.density(100, 1, 60, 0.6, 0.3) < boilerplate.density(100, 1, 5, 0.05, 0.3)
+    assert boilerplate.density(400, 2, 0, 0, 0.1) > boilerplate.density(400, 8, 0, 0, 0.1)
 
 
 # problem 10
