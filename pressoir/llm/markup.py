@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -15,8 +16,8 @@ from ..session import hash_sample, spread
 
 #: Labels of blocks: plain text, and text, heading, list entry, code, formula and wrapper that carry markup.
 LABELS = ["nu", "texte", "titre", "liste", "code", "formule", "balise"]
-#: Clean lines of the collection that labelled pages are made of, taken by hash, and pages made; the bounds of the sample.
-SAMPLE_LINES, SAMPLE_PAGES = 1_500, 420
+#: Pages of the collection, taken by hash, whose clean lines labelled pages are made of, the longest of them in characters, lines taken, and pages made; the bounds of the sample.
+SOURCE_PAGES, SOURCE_CHARS, SAMPLE_LINES, SAMPLE_PAGES = 400, 20_000, 1_500, 700
 
 _TAGS = r"(?:a|abbr|article|aside|b|big|blockquote|body|br|center|cite|code|dd|del|div|dl|dt|em|figure|font|footer|form|h[1-6]|head|header|hr|html|i|iframe|img|input|ins|kbd|li|link|main|math|meta|nav|nowiki|ol|option|p|pre|q|ref|s|script|section|select|small|span|strike|strong|style|sub|sup|syntaxhighlight|table|tbody|td|th|thead|title|tr|tt|u|ul|var)"
 # Syntax, each by the pattern that shows it.
@@ -25,7 +26,9 @@ SYNTAX: dict[str, re.Pattern] = {
     for k, v in {
         "tag": rf"</?{_TAGS}(?:\s[^<>]*)?/?(?:>|$)|<!--",
         "entity": r"&(?:#\d{1,7}|#x[0-9a-f]{1,6}|[a-z]{2,8}\d{0,2});",
-        "bold": r"\*\*\S|(?<!\w)__\S[^_]*__(?!\w)|~~\S[^~]*~~",
+        "bold": r"\*\*\S",
+        "under": r"(?<!\w)__\S[^_]*__(?!\w)",
+        "strike": r"~~\S[^~]*~~",
         "star": r"(?<![*\w])\*[^\s*][^*\n]*\*(?![*\w])|(?<!\w)_[^\s_][^_\n]*_(?!\w)",
         "link": r"!?\[[^\]\n]*\]\([^)\s]*|\]\[\d+\]|^\s*\[\d+\]:\s+\S|!\[",
         "tick": r"`[^`\s][^`]*`",
@@ -62,15 +65,20 @@ SIGNS: dict[str, re.Pattern] = {
         "bracket": r"\[[^\]]*\]",
         "sharp": r"\w#|#\d",
         "aster": r"\*",
-        "under": r"_",
+        "score": r"_",
         "caret": r"\^|`|~",
     }.items()
 }
-NAMES = ["bias", *SYNTAX, *SIGNS, "open", "close", "block", "item", "head", "in_pre", "in_fence", "in_env", "in_list", "in_div", "blank_text", "short", "dot", "before_rule", "strong"]
+NAMES = ["bias", *SYNTAX, *SIGNS, "open", "close", "block", "item", "head", "in_pre", "in_fence", "in_env", "in_list", "in_div", "blank_text", "short", "dot", "before_rule", "after_rule", "alone", "any"]
 INDEX = {n: i for i, n in enumerate(NAMES)}
-#: Syntax that by itself proves markup, and syntax that the field must have taken for markup too.
-SURE = ("tag", "entity", "bold", "link", "hash", "fence", "quotes", "wlink", "brace", "accent", "env")
-PROOF = ("tag", "entity", "bold", "star", "link", "tick", "hash", "bullet", "fence", "quotes", "wlink", "brace", "whead", "windent", "wtable", "tex", "accent", "math", "env")
+#: A character that each syntax or sign needs; lines without it are not searched for it.
+TRIGGER = {
+    "tag": "<", "entity": "&", "bold": "*", "under": "_", "strike": "~", "star": "*_", "link": "[", "tick": "`", "hash": "#", "bullet": "*+[", "fence": "`~", "rule": "=-", "quotes": "'", "wlink": "[", "brace": "{", "whead": "=", "windent": ":;*#", "wtable": "|",
+    "tex": "\\", "accent": "\\", "math": "$\\", "env": "\\", "path": "\\", "mail": "@", "less": "<&", "index": ".)", "dash": "–—•-", "indent": " \t", "calls": "(:;{", "equals": "=", "dollar": "$", "amp": "&", "bracket": "[", "sharp": "#", "aster": "*", "score": "_", "caret": "^`~",
+}
+_ALL = [(INDEX[n], p, TRIGGER[n]) for n, p in (SYNTAX | SIGNS).items()]
+#: A text without any of these characters, for the JVM, shows no syntax at all.
+MAY_MARK = r"[<>&*_`#\[\]{}\\$~=|+^]|''|(?m:^[:;-])"
 
 
 def blocks(text: str) -> list[str]:
@@ -86,12 +94,12 @@ def describe(lines: list[str]) -> np.ndarray:
     for k, line in enumerate(lines):
         row = out[k]
         row[INDEX["bias"]] = 1
-        for n, p in SYNTAX.items():
-            if p.search(line):
-                row[INDEX[n]] = 1
-        for n, p in SIGNS.items():
-            if p.search(line):
-                row[INDEX[n]] = 1
+        for i, p, needs in _ALL:
+            for c in needs:
+                if c in line:
+                    if p.search(line):
+                        row[i] = 1
+                    break
         low = line.lower()
         row[INDEX["in_pre"]], row[INDEX["in_fence"]], row[INDEX["in_env"]], row[INDEX["in_list"]], row[INDEX["in_div"]] = pre > 0, fence, env > 0, lists > 0, divs > 0
         if row[INDEX["tag"]]:
@@ -114,7 +122,9 @@ def describe(lines: list[str]) -> np.ndarray:
         row[INDEX["short"]] = len(line) < 70
         row[INDEX["dot"]] = line.rstrip()[-1:] in ".!?;:»"
         row[INDEX["before_rule"]] = k + 1 < len(lines) and SYNTAX["rule"].match(lines[k + 1]) is not None and abs(len(lines[k + 1]) - len(line)) <= 2
-        row[INDEX["strong"]] = any(row[INDEX[n]] for n in PROOF)
+        row[INDEX["after_rule"]] = k > 0 and out[k - 1, INDEX["before_rule"]]
+        row[INDEX["alone"]] = len(lines) == 1
+        row[INDEX["any"]] = row[1 : 1 + len(SYNTAX)].any()
     return out
 
 
@@ -154,7 +164,7 @@ class Field:
             gt[y[i - 1], y[i]] += 1
         return gw, gt
 
-    def fit(self, pages: list[tuple[np.ndarray, np.ndarray]], epochs: int = 5, rate: float = 0.25, decay: float = 1e-3) -> Field:
+    def fit(self, pages: list[tuple[np.ndarray, np.ndarray]], epochs: int = 8, rate: float = 0.3, decay: float = 1e-3) -> Field:
         """Stochastic ascent with AdaGrad steps; the order is fixed, so the model is the same for the same pages."""
         rng = np.random.default_rng(11)
         aw, at = np.full_like(self.w, 1e-2), np.full_like(self.t, 1e-2)
@@ -168,11 +178,9 @@ class Field:
                 self.t += rate * gt / np.sqrt(at)
         return self
 
-    def decode(self, x: np.ndarray, marked: np.ndarray | None = None) -> np.ndarray:
-        """The likeliest labels, by Viterbi; blocks that are surely ``marked`` cannot have label 0."""
+    def decode(self, x: np.ndarray) -> np.ndarray:
+        """The likeliest labels, by Viterbi."""
         s = self._scores(x)
-        if marked is not None:
-            s[marked, 0] = -1e9
         n, k = s.shape
         if not n:
             return np.zeros(0, int)
@@ -213,11 +221,12 @@ def labelled_pages(lines: list[str], count: int = SAMPLE_PAGES, seed: int = 5) -
         return re.sub(r"\W+", "", words(1, 1)) or "x"
 
     def plain_sign() -> str:
-        n = int(rng.integers(1, 99))
+        """A line with signs in their plain sense: comparisons, paths, addresses, amounts, brackets, footnote marks, names with signs, entries and program lines."""
+        a, b, n = words(), words(), int(rng.integers(1, 99))
+        sign = pick(["< ", "> ", "<= ", "& ", "# ", "* ", "^ ", "~ ", "` ", "_ ", "= ", "+ ", "$ ", "| ", "\\ ", "[...] ", "[sic] ", f"[{n}] ", f"#{n} ", f"{n} $ ", f"< {n} ", f"> 0,{n} ", f"x_{n} ", f"{name()[:1]}# ", f"{name()[:1]}&{name()[:1]} ", f"<{name()}@{name()}.test> ", f"D:\\{name()}\\{name()} ", f"/{name()}/{name()}.txt ", f"{name()}_{n}.txt ", f"{name()} = {n} * {name()} ", f"-- {b} "])
         return pick([
-            f"if ({name()} < {name()} && {n} > d) return t[i] * 2;", f"Le test donne p < 0,{n} et {words()} > 3 dans 8 cas.", f"Le fichier {name()}_{n}_brut.csv se trouve dans C:\\{name()}\\{name()}\\{name()}.", f"Écrire à <{name()}@{name()}.example> avant {words()}.",
-            f"{words()} coûte {n} $ à l'unité et {n} $ par lot [{words()}].", f"La R&D et {name()} C# partagent {words()} #{n}.", f"Le terme [...] {words()} ; on écrit x_1 = 2 * y, puis {n} = 1 + 2.", f"La touche ~ et le signe ^ {words()} ; le ` aussi.", f"{words()} * sauf {words()} ; * voir {words()}.",
-            f"    {name()} = lire({n})", f"    if {name()} < {n}:", f"        {name()}({name()})", f"– {words()} ({n} %)", f"– {words()}", f"E = k × {name()}²", f"{n}. {words(3, 6)}", f"{words()} | {words()} | {words()}", f"├── {words()}", "- Annonce -", f"{words()} -- {words()}.", f"{words()} > {words()} > {words()}", f"[{words()}] {words()}", f"{words()} [{n}] {words()}",
+            f"{a} {sign}{b}.", f"{pick(lines)} {sign}", f"{a} {sign}{b} {sign}{words()}.", f"{a} ({sign.strip()}) {b}",
+            f"    {name()} = {name()}({n})", f"    while {name()} > {n}:", f"for ({name()} = 0; {name()} < {n}; {name()}++) {{ {name()}[i] = {n}; }}", f"        {name()}({name()}, {n})", f"– {a} ({n} %)", f"• {a}", f"{n}. {words(3, 6)}", f"{n}) {a}", f"{a} | {b}", f"{a} > {b} > {words()}", f"│   ├── {a}", f"└── {a}", f"- {a} -", f"{name()[:1]} = {n} × {name()[:1]}²",
         ])
 
     def inline(kind: str, t: str) -> str:
@@ -227,9 +236,9 @@ def labelled_pages(lines: list[str], count: int = SAMPLE_PAGES, seed: int = 5) -
         w = " ".join(ws[i:j])
         new = {
             "html": [f"<b>{w}</b>", f"<strong>{w}</strong>", f"<em>{w}</em>", f'<a href="http://{name()}.test/{name()}">{w}</a>', f'<span class="x">{w}</span>', f"<FONT color=red>{w}</FONT>", f"<I>{w}</I>"],
-            "md": [f"**{w}**", f"__{w}__", f"*{w}*", f"***{w}***", f"~~{w}~~", f"[{w}](http://{name()}.test)", f"![{w}](http://{name()}.test/i.png)", f"[{w}][{int(rng.integers(9))}]", f"`{w}`"],
+            "md": [f"**{w}**", f"__{w}__", f"__{w}__", f"*{w}*", f"***{w}***", f"~~{w}~~", f"[{w}](http://{name()}.test)", f"![{w}](http://{name()}.test/i.png)", f"[{w}][{int(rng.integers(9))}]", f"`{w}`"],
             "wiki": [f"'''{w}'''", f"''{w}''", f"[[{w}]]", f"[[{name()}|{w}]]", f"{{{{lang|en|{w}}}}}", f"[http://{name()}.test {w}]", f'{w}<ref name="{name()}">{words()}</ref>'],
-            "tex": [f"\\textbf{{{w}}}", f"\\emph{{{w}}}", f"{{\\it {w}}}", f"{w}~\\cite{{{name()}}}", f"{w}\\footnote{{{words()}}}", f"\\href{{http://{name()}.test}}{{{w}}}", f"\\og {w}\\fg{{}}", f"{w} \\%"],
+            "tex": [f"{ws[i]}$_{int(rng.integers(9))}$", f"\\textbf{{{w}}}", f"\\emph{{{w}}}", f"{{\\it {w}}}", f"{w}~\\cite{{{name()}}}", f"{w}\\footnote{{{words()}}}", f"\\href{{http://{name()}.test}}{{{w}}}", f"\\og {w}\\fg{{}}", f"{w} \\%"],
         }[kind]
         return " ".join([*ws[:i], pick(new), *ws[j:]])
 
@@ -242,7 +251,7 @@ def labelled_pages(lines: list[str], count: int = SAMPLE_PAGES, seed: int = 5) -
     for number in range(count):
         kind = ["nu", "html", "md", "wiki", "tex", "html", "nu"][number % 7]
         page: list[tuple[str, int]] = []
-        light = chance(0.35)  # a page with one mark only
+        light = chance(0.5)  # a page with one mark only
         for _ in range(int(rng.integers(3, 11))):
             t = pick(lines)
             short = words(3, 7)
@@ -260,7 +269,7 @@ def labelled_pages(lines: list[str], count: int = SAMPLE_PAGES, seed: int = 5) -
                     t2 = pick(["<p>", "<P>", '<p align="justify">', ""]) + t2 + pick(["</p>", "</P>", "<br>", "<BR/>", ""])
                 page.append((t2, texte if t2 != t else nu))
             elif what == "head":
-                if kind == "md" and chance(0.3):
+                if kind == "md" and chance(0.4):
                     page += [(short, titre), (pick("=-") * len(short), titre)]
                 else:
                     d = int(rng.integers(1, 4))
@@ -281,8 +290,11 @@ def labelled_pages(lines: list[str], count: int = SAMPLE_PAGES, seed: int = 5) -
                 page.append((short, nu))
         if light and kind != "nu":
             i = int(rng.integers(len(page)))
-            t = pick(lines)
-            page.insert(i, (spelled(kind, inline(kind, t)) if kind in ("html", "tex") and chance(0.4) else inline(kind, t), texte))
+            t = pick(lines) if chance(0.7) else short
+            marked = spelled(kind, t) if kind in ("html", "tex") and chance(0.4) else t
+            if marked == t or chance(0.3):  # spelled in plain letters or on top of it
+                marked = inline(kind, marked) if chance(0.8) else marked + pick(["&nbsp;", "&rsquo;", "&#160;", "&hellip;"])
+            page.insert(i, (marked, texte))
         out.append(([t for t, _ in page], [y for _, y in page]))
     return out
 
@@ -290,16 +302,20 @@ def labelled_pages(lines: list[str], count: int = SAMPLE_PAGES, seed: int = 5) -
 def train(lines: list[str]) -> Field:
     pages = [(describe(t), np.array(y)) for t, y in labelled_pages(lines)]
     # titles are pages of one block
-    pages += [(describe(t[i : i + 1]), np.array(y[i : i + 1])) for t, y in labelled_pages(lines, 120, 6) for i in range(min(2, len(t))) if y[i] in (0, 1, 2)]
+    pages += [(describe(t[i : i + 1]), np.array(y[i : i + 1])) for t, y in labelled_pages(lines, SAMPLE_PAGES // 3, 6) for i in range(min(2, len(t))) if y[i] in (0, 1, 2)]
     return Field(len(NAMES), len(LABELS)).fit(pages)
 
 
+_clean_line = re.compile(r"^[^\W_][\w ,;:.!?'’«»()%-]{11,399}$")
+
+
 def model(pages: DataFrame, text: str = "texte") -> Field:
-    """The field, fitted on the driver on labelled pages made of at most SAMPLE_LINES clean lines, taken by hash."""
-    line = F.explode(F.split(text, "\n")).alias("l")
-    clean = pages.where(F.col(text).isNotNull()).select(line).where(F.col("l").rlike(r"^[\p{L}0-9 ,;:.!?'’«»()%-]{12,400}$"))
-    rows = hash_sample(clean, "l", SAMPLE_LINES).collect()
-    return train([r["l"] for r in rows])
+    """The field, fitted on the driver on labelled pages made of at most SAMPLE_LINES clean lines of SOURCE_PAGES pages taken by hash."""
+    able = pages.where(F.length(text) <= SOURCE_CHARS)
+    found: list[str] = []
+    for r in hash_sample(able, text, SOURCE_PAGES).toLocalIterator():
+        found += [x for x in r[0].split("\n") if _clean_line.match(x)]
+    return train(sorted(dict.fromkeys(found), key=lambda x: zlib.crc32(x.encode()))[:SAMPLE_LINES])
 
 
 _OPENS = [
@@ -309,30 +325,26 @@ _OPENS = [
 
 
 def labels_of(text: str | None, field: Field) -> list[tuple[str, int]]:
-    """(block, label) of the whole text. A block that the field takes for markup but that shows no syntax, in itself or by the
-    environment it stands in, is plain."""
+    """(block, label) of the whole text, as the field decodes it. The syntax that opens a block which the field takes for markup settles its kind."""
     lines = blocks(text) if text else []
     if not lines:
         return []
     x = describe(lines)
     out = []
-    around = x[:, [INDEX["in_pre"], INDEX["in_fence"], INDEX["in_env"], INDEX["before_rule"]]].any(1)
-    sure = x[:, [INDEX[n] for n in SURE]].any(1)
-    for k, (line, y) in enumerate(zip(lines, field.decode(x, sure))):
-        under = k > 0 and x[k - 1, INDEX["before_rule"]] and x[k, INDEX["rule"]]
-        y = int(y) if x[k, INDEX["strong"]] or around[k] or under else 0
-        if under or x[k, INDEX["before_rule"]] and not x[k, INDEX["in_fence"]]:
-            y = LABELS.index("titre")  # a line underlined in its own length
-        if y and LABELS[y] != "code":  # the syntax that opens the block settles its kind
+    for line, y in zip(lines, map(int, field.decode(x))):
+        if y and LABELS[y] != "code":
             y = next((LABELS.index(kind) for kind, p in _OPENS if p.match(line)), y)
         out.append((line, y))
     return out
 
 
+_may_mark = re.compile(MAY_MARK)
+
+
 def has_markup(text: str | None, field: Field) -> bool:
-    if not text or not re.search(r"[<>&*_`#\[\]{}\\$~=|+]|''|^[:;]|^-{3,}", text, re.M):
-        return False
-    return any(y for _, y in labels_of(text, field))
+    """Whether the field takes any block of the text for markup."""
+    lines = blocks(text) if text and _may_mark.search(text) else []
+    return bool(lines) and bool(field.decode(describe(lines)).any())
 
 
 _texaccent = re.compile(r"\\([`'^\"~=.])(?:\{\\?([a-zA-Z])\}|\\?([a-zA-Z]))|\\c\{([a-zA-Z])\}")
@@ -425,7 +437,7 @@ def marked_fields(pages: DataFrame, fields: list[str], key: str = "fichier", tex
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    return rows.where(marked("contenu")).select(key, "champ").distinct()
+    return rows.where(F.col("contenu").rlike(MAY_MARK)).where(marked("contenu")).select(key, "champ").distinct()
 
 
 def clean_fields(pages: DataFrame, fields: list[str], key: str = "fichier", text: str = "texte") -> DataFrame:

@@ -153,6 +153,17 @@ def test_marked_or_plain(field):
     assert [t for t in PLAIN if markup.has_markup(t, field)] == []
 
 
+def test_the_field_decides(field):
+    flat = markup.Field(len(markup.NAMES), len(markup.LABELS))
+    assert not any(markup.has_markup(t, flat) for t in MARKED)
+    alone = markup.Field(len(markup.NAMES), len(markup.LABELS))
+    alone.w = field.w  # the same line reads as code or as text by its neighbours
+    code = "x = lire(3)"
+    assert markup.labels_of(f"```\n{code}\n```", field)[1][1] == markup.LABELS.index("code") and markup.labels_of(code, field)[0][1] == 0
+    under = "Un titre\n========"
+    assert [markup.LABELS[y] for _, y in markup.labels_of(under, field)] == ["titre", "titre"]
+
+
 def test_clean(field):
     text = "<h2>Titre</h2>\n<p>Un <b>mot</b> &eacute;crit</p>\n<ul>\n<li>un</li>\n<li>deux</li>\n</ul>\n<pre><code>\nx = lire(3)\nif x &lt; 3:\n    alerte(x)\n</code></pre>\nFin."
     assert markup.clean(text, field) == "# Titre\nUn mot écrit\n- un\n- deux\n```\nx = lire(3)\nif x < 3:\n    alerte(x)\n```\nFin."
