@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
 
 import numpy as np
 import pandas as pd
@@ -28,17 +27,15 @@ FUNCTION_WORDS = frozenset(
     """.split()
 )
 LINK = re.compile(r"https?://\S+|www\.\S+|\]\([^)\s]*\)")
-WORD = re.compile(r"[^\W_]+")
 CUT = re.compile(r"(?<=[.!?…])\s+|\n+")
-#: Share of content words repeated at one lag from which a text is periodic; share of function words from which a segment of it is a sentence or verse.
-PERIODIC, SENTENCE = 0.8, 0.35
-
-
-def _gaps(places: list[int]) -> tuple[float, float]:
-    """Mean of the gaps between occurrences, and their spread relative to it."""
-    g = np.diff(places)
-    m = float(g.mean())
-    return m, float(g.std()) / m if m else 0.0
+#: A link is a term of its own; a word is a run of letters and digits.
+TERM = re.compile(r"https?://\S+|www\.\S+|\]\([^)\s]*\)|[^\W_]+")
+LINKED = ("http", "www.", "](")
+#: Gaps, in terms: most of a short gap, and share of short gaps from which a term is dense; mean gap and relative spread of a recurrent one at most; of an even one. Least occurrences of a term, and of an even one.
+SHORT, DENSE, RECURRENT, EVEN, LEAST_TIMES, EVEN_TIMES = 6, 0.6, ((9, 1.5), (12, 1.2)), (24, 0.35), 4, 6
+#: Share of terms repeated at one lag from which a text is periodic; share of a segment's content terms that recur, from which it is stuffed, and the same of all its words for dense terms;
+#: shares of function words below which it is a list, and from which it is a sentence or verse, which may be said again; share of characters in links from which a segment is a link.
+PERIODIC, REGULAR, THICK, LIST, SENTENCE, LINKS = 0.8, 0.25, 0.2, 0.13, 0.28, 0.25
 
 
 def agreement(terms: np.ndarray) -> np.ndarray:
@@ -52,117 +49,136 @@ def agreement(terms: np.ndarray) -> np.ndarray:
     order = np.argsort(terms, kind="stable")
     order = order[np.searchsorted(terms[order], 0) :]
     frequent = max(64, int((n * math.log2(n + 2)) ** 0.5))
-    for places in np.split(order, np.flatnonzero(np.diff(terms[order])) + 1):
-        if len(places) > frequent:
-            held = np.zeros(1 << (n + half).bit_length())
-            held[places] = 1
-            out += np.rint(np.fft.irfft(np.abs(np.fft.rfft(held)) ** 2, len(held))[: half + 1]).astype("int64")
-        elif len(places) > 1:
-            lags = (places[None, :] - places[:, None]).ravel()
-            out += np.bincount(lags[(lags > 0) & (lags <= half)], minlength=half + 1)
+    held = terms[order]
+    starts = np.flatnonzero(np.append(True, held[1:] != held[:-1])) if len(held) else np.zeros(0, "int64")
+    times = np.diff(np.append(starts, len(held)))
+    many = times > frequent
+    for a, k in zip(starts[many], times[many]):
+        mark = np.zeros(1 << (n + half).bit_length())
+        mark[order[a : a + k]] = 1
+        out += np.rint(np.fft.irfft(np.abs(np.fft.rfft(mark)) ** 2, len(mark))[: half + 1]).astype("int64")
+    few = np.repeat(~many & (times > 1), times)
+    place, held = order[few], held[few]
+    for step in range(1, int(times[~many].max(initial=1))):  # the occurrences so many further on
+        same = held[step:] == held[:-step]
+        lags = (place[step:] - place[:-step])[same]
+        out += np.bincount(lags[lags <= half], minlength=half + 1)
     return out
 
 
-def autocorrelation(terms: np.ndarray) -> float:
-    """Largest share of positions that hold the same term as the position some lags on, over all lags up to half the text."""
-    if len(terms) < 2:
-        return 0.0
-    lags = np.arange(1, len(terms) // 2 + 1)
-    return float((agreement(terms)[1:] / (len(terms) - lags)).max())
+def autocorrelation(terms: np.ndarray) -> tuple[float, int]:
+    """The peak of the positional autocorrelation, and its lag: the largest share of positions with a term that hold the same one so many
+    positions on, over all lags that the text holds at least twice (four times for the lag); (0.0, 0) where there is none."""
+    n = len(terms)
+    if n < 2:
+        return 0.0, 0
+    held = np.cumsum(terms >= 0)
+    lags = np.arange(1, n // 2 + 1)
+    share = agreement(terms)[1:] / np.maximum(1, held[n - lags - 1])
+    often = share[: n // 4]
+    return float(share.max()), int(often.argmax()) + 1 if len(often) else 0
 
 
-def periodic(terms: np.ndarray) -> np.ndarray:
-    """Which positions repeat the term one period before or after.
+def regular(terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Which positions hold a dense term, which one that recurs at longer gaps or one period of the text before or after, and the autocorrelation's peak.
 
-    The period is the lag of the autocorrelation's peak, among lags that the text holds four times; none, where fewer than PERIODIC of the positions with a term repeat at it.
+    Gaps are those between neighbouring occurrences of one term, over the whole text; negative terms are none. Term 0, the links, recurs from two occurrences on.
     """
     n = len(terms)
-    out = np.zeros(n, bool)
-    if n < 4:
-        return out
-    lags = np.arange(1, n // 4 + 1)
-    able = np.cumsum(terms >= 0)[n - lags - 1]
-    share = agreement(terms)[1 : len(lags) + 1] / np.maximum(1, able)
-    lag = int(share.argmax()) + 1
-    if share[lag - 1] >= PERIODIC:
+    dense, again = np.zeros(n, bool), np.zeros(n, bool)
+    peak, lag = autocorrelation(terms)
+    if lag:
         same = (terms[:-lag] == terms[lag:]) & (terms[:-lag] >= 0)
-        out[:-lag] |= same
-        out[lag:] |= same
-    return out
+        if same.sum() >= PERIODIC * max(1, (terms[:-lag] >= 0).sum()):
+            again[:-lag] |= same
+            again[lag:] |= same
+    order = np.argsort(terms, kind="stable")
+    order = order[np.searchsorted(terms[order], 0) :]
+    if not len(order):
+        return dense, again, peak
+    held = terms[order]
+    starts = np.flatnonzero(np.append(True, held[1:] != held[:-1]))
+    times = np.diff(np.append(starts, len(held)))
+    gaps = np.append(0, np.diff(order)).astype("float64")
+    gaps[starts] = 0.0
+    count = np.maximum(1, times - 1)
+    mean = np.add.reduceat(gaps, starts) / count
+    spread = np.sqrt(np.maximum(0.0, np.add.reduceat(gaps * gaps, starts) / count - mean * mean)) / np.maximum(mean, 1e-9)
+    often = (times >= LEAST_TIMES) | (held[starts] == 0) & (times > 1)
+    inner = np.ones(len(order), bool)
+    inner[starts] = False
+    short = often & (np.add.reduceat((inner & (gaps <= SHORT)).astype("int64"), starts) >= DENSE * count)
+    long = (mean <= EVEN[0]) & (spread <= EVEN[1]) & (times >= EVEN_TIMES)
+    for most, uneven in RECURRENT:
+        long |= often & (mean <= most) & (spread <= uneven)
+    dense[order[np.repeat(short, times)]] = True
+    again[order[np.repeat(long | short, times)]] = True
+    return dense, again, peak
+
+
+MEASURES = ("mots", "liens", "outils", "autocorrelation", "regularite", "listes", "bourrage")
 
 
 def stuffing(text: str | None) -> dict[str, float]:
     """Measures of one text, read whole.
 
-    ``mots`` counts its words outside links, ``liens`` its links, ``outils`` the share of function words, ``autocorrelation`` see above,
-    ``regularite`` the share of content words whose term recurs densely or evenly,
-    ``bourrage`` the share of the text, in characters, that lies in stuffed segments: link entries, runs of
-    words without function words, segments ruled by terms that recur at short or unnaturally regular gaps, and segments
-    that repeat at the period of the autocorrelation's peak, but for sentences and verse: a refrain is no stuffing.
+    Its terms are its words and, as one term of its own, its links. ``mots`` counts the words, ``liens`` the links, ``outils`` is the share of function words,
+    ``autocorrelation`` the peak of the positional autocorrelation. ``regularite`` is the share of the text, in characters, in segments thick with dense terms, in
+    segments whose content terms recur at longer gaps or at the text's own period (see ``regular``) but for sentences and verse said again, and in links that recur densely, with
+    their anchors; ``listes`` the share in segments of other, distinct content words without function words; ``bourrage`` their sum.
     """
-    none = {"mots": 0, "liens": 0, "outils": 0.0, "autocorrelation": 0.0, "regularite": 0.0, "bourrage": 0.0}
+    none = dict.fromkeys(MEASURES, 0.0) | {"mots": 0, "liens": 0}
     if not text or not text.strip():
         return none
-    none["liens"] = links = len(LINK.findall(text))
-    segments = [s for s in CUT.split(text) if s and s.strip()]
-    parsed, at, where = [], 0, defaultdict(list)
-    for s in segments:
-        bare = LINK.sub(" ", s)
-        words = [w.lower() for w in WORD.findall(bare)]
-        linked = len(s) - len(bare) + (len(s) - len(bare) > 0)
-        parsed.append((s, words, linked))
-        for w in words:
-            if w not in FUNCTION_WORDS and not w.isdigit():
-                where[w].append(at)
-            at += 1
-    total = sum(len(s) for s in segments)
-    if not at:
-        share = sum(len(s) for s, _, linked in parsed if linked) / total
-        return none | {"bourrage": round(share, 6)}
-    number = {w: i for i, w in enumerate(where)}
-    ids = np.fromiter((number.get(w, -1) for _, ws, _ in parsed for w in ws), "int64", at)
-    period, again = autocorrelation(ids), periodic(ids)
-    dense, even = set(), set()
-    for w, places in where.items():
-        if len(places) >= 4:
-            mean, spread = _gaps(places)
-            if mean <= 9 and (spread <= 1.5 or mean <= 5) or mean <= 12 and len(places) >= 5 and spread <= 1.2:
-                dense.add(w)
-            elif mean <= 24 and spread <= 0.35 and len(places) >= 6:
-                even.add(w)
-    tools = sum(1 for _, ws, _ in parsed for w in ws if w in FUNCTION_WORDS)
-    content = sum(map(len, where.values()))
-    stuffed = start = 0
-    for s, words, linked in parsed:
-        n = len(words)
-        repeated = int(again[start : start + n].sum())
-        start += n
-        f = sum(w in FUNCTION_WORDS for w in words)
-        hot = sum(w in dense for w in words)
-        steady = sum(w in even for w in words)
-        if linked >= 0.25 * len(s) and n > 9 and f >= 0.2 * n:
-            stuffed += linked  # a sentence that cites a link
-        elif linked >= 0.25 * len(s) or "#" in s and len(re.findall(r"#\w", s)) * 2 >= n:
-            stuffed += len(s)
-        elif n and (f / n < 0.13 and not (n < 3 and len(parsed) < 3)):
-            stuffed += len(s)
-        elif f >= 0.45 * n and n >= 8 and max(map(words.count, dense & set(words)), default=0) < 3:
-            continue  # a sentence, however often it is said
-        elif n - f and hot / max(1, n - f) >= 0.25 or hot >= 3 and hot / n >= 0.2:
-            stuffed += len(s)
-        elif n <= 6 and f <= 1 and hot + steady:
-            stuffed += len(s)
-        elif n and f < SENTENCE * n and repeated >= PERIODIC * (n - f):
-            stuffed += len(s)
-    return {"mots": at, "liens": links, "outils": round(tools / at, 6), "autocorrelation": round(period, 6), "regularite": round(sum(len(where[w]) for w in dense | even) / max(1, content), 6), "bourrage": round(stuffed / total, 6)}
+    segments = [(s, TERM.findall(s)) for s in CUT.split(text) if s and not s.isspace()]
+    codes: dict[str, int] = {}
+    number: dict[str, int] = {"": 0}
+
+    def code(t: str) -> int:
+        w = t.lower()
+        got = 0 if t.startswith(LINKED) else -1 if w in FUNCTION_WORDS else -2 if w.isdigit() else number.setdefault(w, len(number))
+        codes[t] = got
+        return got
+
+    get = codes.get
+    ids = [c if (c := get(t)) is not None else code(t) for _, ts in segments for t in ts]
+    terms = np.array(ids, dtype="int64")
+    dense, again, peak = regular(terms)
+    sizes = np.array([len(ts) for _, ts in segments])
+    ends = np.cumsum(sizes)
+
+    def each(mask: np.ndarray) -> np.ndarray:
+        total = np.append(0, np.cumsum(mask))
+        return total[ends] - total[ends - sizes]
+
+    chars = np.array([len(s) for s, _ in segments], dtype="float64")
+    tools, linked, figures = each(terms == -1), each(terms == 0), each(terms == -2)
+    thick, hot = each(dense & (terms > 0)), each(again & (terms > 0))
+    words = sizes - linked
+    content = np.maximum(1, words - tools - figures)
+    near = lambda x: x + np.append(x[1:], 0) + np.append(0, x[:-1])  # noqa: E731, with the segments before and after
+    repeats = (thick > 0) & (near(thick) >= 3) & (near(thick) >= THICK * near(words)) | (tools < SENTENCE * np.maximum(1, words)) & (hot > 0) & (hot >= REGULAR * content)
+    taken = np.where(repeats, chars, 0.0)
+    if linked.any():
+        recurs = each(again & (terms == 0)) > 0  # the links of the text recur
+        address = np.array([sum(len(t) for t in ts if t.startswith(LINKED)) if k else 0 for k, (_, ts) in zip(linked, segments)], dtype="float64")
+        cited = (words > 9) & (tools >= 0.2 * words)  # a sentence that cites a link keeps its words
+        taken = np.maximum(taken, np.where(recurs & (address >= LINKS * chars), np.where(cited, address, chars), 0.0))
+    lists = (taken == 0) & (tools < LIST * np.maximum(1, words)) & (words > 0)
+    if len(segments) < 3:
+        lists &= words >= 3
+    total = chars.sum()
+    regularity, listed = float(taken.sum() / total), float(chars[lists].sum() / total)
+    count = int(words.sum())
+    return none | {"mots": count, "liens": int(linked.sum()), "outils": round(float(tools.sum()) / max(1, count), 6), "autocorrelation": round(peak, 6), "regularite": round(regularity, 6), "listes": round(listed, 6), "bourrage": round(regularity + listed, 6)}
 
 
 def stuffing_column(text: Column) -> Column:
     """A struct of the measures of ``stuffing``; a null text is like an empty one."""
 
-    @F.pandas_udf("mots long, liens long, outils double, autocorrelation double, regularite double, bourrage double")
+    @F.pandas_udf("mots long, liens long, outils double, autocorrelation double, regularite double, listes double, bourrage double")
     def measure(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([stuffing(t) for t in texts], columns=["mots", "liens", "outils", "autocorrelation", "regularite", "bourrage"])
+        return pd.DataFrame([stuffing(t) for t in texts], columns=list(MEASURES))
 
     return measure.asNondeterministic()(text)  # else a filter on a measure has the texts measured twice
 
@@ -177,4 +193,4 @@ def stuffed_pages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     Null, empty and blank texts are no spam; a null key is kept; other columns are ignored.
     """
     rows = spread(docs.select(key, text)).select(F.col(key).alias(key), stuffing_column(F.col(text)).alias("m")).select(key, "m.*")
-    return rows.withColumn("spam", (F.col("bourrage") > LEAST_STUFFED) & ((F.col("mots") >= 8) | (F.col("liens") > 0)))
+    return rows.withColumn("spam", F.col("bourrage") > LEAST_STUFFED)

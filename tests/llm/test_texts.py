@@ -156,8 +156,7 @@ def test_marked_or_plain(field):
 def test_the_field_decides(field):
     flat = markup.Field(len(markup.NAMES), len(markup.LABELS))
     assert not any(markup.has_markup(t, flat) for t in MARKED)
-    alone = markup.Field(len(markup.NAMES), len(markup.LABELS))
-    alone.w = field.w  # the same line reads as code or as text by its neighbours
+    # the same line reads as code or as text by its neighbours
     code = "x = lire(3)"
     assert markup.labels_of(f"```\n{code}\n```", field)[1][1] == markup.LABELS.index("code") and markup.labels_of(code, field)[0][1] == 0
     under = "Un titre\n========"
@@ -256,8 +255,8 @@ def test_stuffing():
 def test_autocorrelation():
     import numpy as np
 
-    assert stuffing.autocorrelation(np.array([1, 2, 3] * 10)) == 1.0
-    assert stuffing.autocorrelation(np.arange(50)) == 0.0 and stuffing.autocorrelation(np.array([], dtype="int64")) == 0.0
+    assert stuffing.autocorrelation(np.array([1, 2, 3] * 10)) == (1.0, 3)
+    assert stuffing.autocorrelation(np.arange(50))[0] == 0.0 and stuffing.autocorrelation(np.array([], dtype="int64")) == (0.0, 0)
 
 
 def test_stuffed_pages(spark):
@@ -274,7 +273,7 @@ def test_long_periods_are_stuffed():
     import numpy as np
 
     rng = np.random.default_rng(5)
-    assert stuffing.autocorrelation(np.array(list(range(60)) * 8)) == 1.0
+    assert stuffing.autocorrelation(np.array(list(range(60)) * 8)) == (1.0, 60)
     for terms in (rng.integers(-1, 6, 300), rng.integers(-3, 90, 500), np.array([1] * 700 + [-1] * 40), np.array([-1, -1, 2])):
         want = [int(((terms[: len(terms) - k] == terms[k:]) & (terms[: len(terms) - k] >= 0)).sum()) for k in range(len(terms) // 2 + 1)]
         assert stuffing.agreement(terms).tolist()[1:] == want[1:]
@@ -286,4 +285,14 @@ def test_long_periods_are_stuffed():
 
 def test_short_pages_of_links(spark):
     df = spark.createDataFrame([(1, "https://a.test/1 pompe\nhttps://a.test/2 filtre"), (2, "pompe pompe pompe"), (3, "https://a.test/1 https://a.test/2"), (4, "Voir la pompe.")], "doc_id long, text string")
-    assert sorted(r.doc_id for r in stuffing.stuffed_pages(df).where("spam").collect()) == [1, 3]
+    assert sorted(r.doc_id for r in stuffing.stuffed_pages(df).where("spam").collect()) == [1, 2, 3]
+
+
+def test_repetition_decides():
+    rng = random.Random(9)
+    once = [measure(t)["bourrage"] for t in SPAM]
+    shuffled = rng.sample(NOUNS, len(NOUNS))
+    assert all(measure(t)["regularite"] > stuffing.LEAST_STUFFED for t in SPAM[:4]) and all(x > stuffing.LEAST_STUFFED for x in once)
+    assert measure(", ".join(shuffled))["listes"] == 1.0 and measure(", ".join(shuffled))["regularite"] == 0.0
+    rotated = " ".join(f"{w} ? Oui, {w} ! Cliquez ici pour {w} et promo." for w in [*NOUNS, *NOUNS])
+    assert measure(rotated)["regularite"] > 0.9
