@@ -50,7 +50,9 @@ _latin = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏḀ-ỿ]")
 #: The same, for the JVM. A word may hold marks and ignorables.
 DIRT = f"[{IGNORABLES}{SPACES}{HYPHENS}{MARKS}{FORMS}]|[\\x{{1d400}}-\\x{{1d7ff}}]|(?<![\\p{{L}}\\p{{N}}])[{FOREIGN}](?=['’]\\p{{IsLatin}})"
 WORD = f"[\\p{{L}}\\p{{M}}{IGNORABLES}]+"
-SUSPECT = f"[{IGNORABLES}{MARKS}{FORMS}]|[\\x{{1d400}}-\\x{{1d7ff}}]|\\p{{IsLatin}}[\\p{{M}}{IGNORABLES}]*[{FOREIGN}]|[{FOREIGN}][\\p{{M}}{IGNORABLES}]*\\p{{IsLatin}}"
+#: Any letter of another alphabet, look-alike or not.
+OTHER = r"[\p{L}&&[^\p{IsLatin}\p{IsCommon}]]"
+SUSPECT = f"[{IGNORABLES}{MARKS}{FORMS}]|[\\x{{1d400}}-\\x{{1d7ff}}]|\\p{{IsLatin}}[\\p{{M}}{IGNORABLES}]*{OTHER}|{OTHER}[\\p{{M}}{IGNORABLES}]*\\p{{IsLatin}}"
 #: A character that ordinary French text does not hold: texts without one need no closer look.
 UNUSUAL = "[^\\n -~À-ÖØ-öø-ÿœŒ’‘“”…–—€«»°²³½×±·§]"
 #: Letters that alternatives of one look-alike join into a class, for the blocking key only.
@@ -82,15 +84,28 @@ def mixed(word: str) -> bool:
     return not (len(foreign) == 1 and foreign[0] == word[0] and "α" <= foreign[0] <= "ω" and len(word) <= 3)
 
 
+def unknown(c: str) -> bool:
+    """Whether the character is a letter of another alphabet that has no Latin look-alike."""
+    return c.isalpha() and c not in LOOKALIKES and not _latin.match(c) and "LATIN" not in unicodedata.name(c, "LATIN") and c not in "µªº"
+
+
+#: Stands for a letter of another alphabet without a look-alike: any letter at the cost UNKNOWN_COST, allowed once in a word of three Latin letters or more.
+ANY, UNKNOWN_COST, LEAST_LATIN = "\u0000", 0.5, 3
+
+
 def readings(word: str) -> list[str]:
-    """Per position of the tidied word, the Latin letters it may stand for at no cost; other characters stand for themselves."""
+    """Per position of the tidied word, the Latin letters it may stand for at no cost; other characters stand for themselves, but for one letter without a look-alike."""
     word = tidy(word)
+    strange = sum(map(unknown, word))
+    if strange == 1 and len(_latin.findall(word)) >= LEAST_LATIN:
+        return [ANY if unknown(c) else LOOKALIKES.get(c, c) for c in word]
     return [LOOKALIKES.get(c, c) for c in word] if mixed(word) else list(word)
 
 
 def by_table(word: str) -> str:
-    """The word with each look-alike read as the letter it is most like."""
-    return unicodedata.normalize("NFC", "".join(r[0] for r in readings(word)))
+    """The word with each look-alike read as the letter it is most like; a letter without one stays."""
+    word = tidy(word)
+    return unicodedata.normalize("NFC", "".join(LOOKALIKES.get(c, c)[0] for c in word) if mixed(word) or sum(map(unknown, word)) == 1 and len(_latin.findall(word)) >= LEAST_LATIN else word)
 
 
 class Trie:
@@ -109,7 +124,7 @@ class Trie:
         """The commonest spelling reached through the options at a cost of at most ``budget``.
 
         A weighted edit automaton: a letter among the options of a position costs nothing (look-alikes; ignorables are gone from the
-        options), any other substitution, insertion or deletion costs 1. Cheaper spellings go first, then commoner, then smaller ones.
+        options), a letter without a look-alike (ANY) stands for any letter at UNKNOWN_COST, any other substitution, insertion or deletion costs 1. Cheaper spellings go first, then commoner, then smaller ones.
         """
         best: tuple[float, int, str] | None = None
         stack = [(0, self.root, 0.0, "")]
@@ -120,7 +135,12 @@ class Trie:
                 if best is None or found < best:
                     best = found
             free = options[i] if i < len(options) else ""
-            if budget < cost + 1:  # only free moves are left
+            if free == ANY:
+                if cost + UNKNOWN_COST <= budget:
+                    stack += [(i + 1, child, cost + UNKNOWN_COST, word + c) for c, child in node.items() if c]
+                if budget < cost + 1:
+                    continue
+            elif budget < cost + 1:  # only free moves are left
                 for c in free:
                     if c in node:
                         stack.append((i + 1, node[c], cost, word + c))
@@ -139,12 +159,20 @@ def fold_key(word: str) -> str:
     return word.lower().translate(str.maketrans(*CLASSES))
 
 
+def patterns(word: str) -> list[str]:
+    """The folded word with each of its letters left open, one at a time."""
+    w = fold_key(word)
+    return [w[:i] + ANY + w[i + 1 :] for i in range(len(w))]
+
+
 def canonical_words(texts: DataFrame, text: str = "texte") -> DataFrame:
     """(mot, forme, voie, n): for every distinct suspect word of the texts its one consistent spelling.
 
     The vocabulary is the texts' own plain words with their counts. Words that can match share a
-    folded key, so suspects and vocabulary meet in hash buckets of keys, each bucket builds the trie of its words and
-    traverses it. voie is 'lexique' where the trie gave the spelling, 'table' where no word matched.
+    folded key (for a word with a letter that has no look-alike, the key with this letter left open), so suspects and vocabulary meet in hash buckets of keys, each bucket
+    builds the trie of its words and traverses it: at no cost first, then with a budget of one letter without a look-alike. The trie decides: a
+    word it reaches takes that spelling; by the table go only words that match nothing, and a letter that has no look-alike stays then.
+    voie is 'lexique' where the trie gave the spelling, 'table' where no word matched.
     Words whose spelling is already consistent are left out. n is how often the word occurs.
     """
     words = texts.where(F.col(text).isNotNull()).select(F.explode(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))).alias("mot"))
@@ -152,12 +180,20 @@ def canonical_words(texts: DataFrame, text: str = "texte") -> DataFrame:
 
     @F.pandas_udf("string")
     def key(col: pd.Series) -> pd.Series:
-        return col.map(lambda w: fold_key(by_table(w)))
+        return col.map(lambda w: fold_key("".join(r[0] for r in readings(w))))
+
+    @F.pandas_udf("array<string>")
+    def opened(col: pd.Series) -> pd.Series:
+        return col.map(patterns)
 
-    suspects = counted.where(F.col("mot").rlike(UNUSUAL) & F.col("mot").rlike(SUSPECT)).select("mot", "n", key("mot").alias("cle_mot"))
-    plain = counted.where(~F.col("mot").rlike(UNUSUAL) | ~F.col("mot").rlike(f"{SUSPECT}|[{FOREIGN}]")).select("mot", "n", F.translate(F.lower("mot"), *CLASSES).alias("cle_mot"))
+    suspects = materialize(counted.where(F.col("mot").rlike(UNUSUAL) & F.col("mot").rlike(SUSPECT)).select("mot", "n", key("mot").alias("cle_mot")), "mots_suspects")
+    plain = counted.where(~F.col("mot").rlike(UNUSUAL) | ~F.col("mot").rlike(f"{SUSPECT}|{OTHER}")).select("mot", "n", F.translate(F.lower("mot"), *CLASSES).alias("cle_mot"))
+    open_keys = suspects.where(F.col("cle_mot").contains(ANY))
+    if open_keys.limit(1).count():
+        plain = plain.unionByName(plain.select("mot", "n", F.explode(opened("mot")).alias("cle_mot")))
     plain = plain.join(suspects.select("cle_mot").distinct(), "cle_mot", "left_semi")
-    buckets = 4 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # buckets grow with the vocabulary
+    buckets = max(4 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), counted.count() // 20_000)
     tas = F.pmod(F.xxhash64("cle_mot"), F.lit(buckets))
 
     def look_up(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -167,11 +203,10 @@ def canonical_words(texts: DataFrame, text: str = "texte") -> DataFrame:
         out = []
         for w, n in zip(left["suspect"], left["fois"]):
             options = readings(w)
-            found = trie.match(options) or trie.match([o.lower() for o in options])
-            lower = found is not None and not trie.match(options)
-            if lower:  # known in lower case only: keep the case as written
-                table = by_table(w)
-                found = "".join(c.upper() if t.isupper() else c for c, t in zip(found, table)) if len(found) == len(table) else None
+            budget = UNKNOWN_COST if ANY in options else 0.0
+            found = trie.match(options, budget)
+            if not found and (lower := trie.match([o.lower() for o in options], budget)):  # known in lower case only: keep the case as written
+                found = "".join(c.upper() if o[0].isupper() else c for c, o in zip(lower, options)) if len(lower) == len(options) else None
             forme = found or by_table(w)
             if forme != w:
                 out.append((w, forme, "lexique" if found else "table", n))
@@ -183,10 +218,10 @@ def canonical_words(texts: DataFrame, text: str = "texte") -> DataFrame:
 
 
 def written_texts(articles: DataFrame, requests: DataFrame) -> DataFrame:
-    """(champ, cle, pos, texte) of articles.texte and of each term of requetes.content_terms, repeated rows once."""
+    """(champ, cle, pos, texte) of articles.texte and of each term of requetes.content_terms that is not null, as often as delivered."""
     a = articles.select(F.lit("texte").alias("champ"), F.col("fichier").alias("cle"), F.lit(0).alias("pos"), "texte")
     r = requests.select(F.lit("content_terms").alias("champ"), F.col("query_id").cast("string").alias("cle"), F.posexplode("content_terms").alias("pos", "texte"))
-    return a.unionByName(r).where(F.col("texte").isNotNull()).distinct()
+    return a.unionByName(r).where(F.col("texte").isNotNull())
 
 
 def _suspect_rows(texts: DataFrame) -> DataFrame:
@@ -212,22 +247,28 @@ def dirty_texts(texts: DataFrame) -> DataFrame:
 
 
 def consistent_texts(texts: DataFrame) -> DataFrame:
-    """(champ, cle, pos, texte, forme): every text with its one consistent form.
+    """(champ, cle, pos, texte, forme): every text with its one consistent form, repeated rows once.
 
-    Each suspect text gets the spellings of its own suspect words (as many as it holds) and is rewritten; other texts are passed through.
+    Each suspect text gets the spellings of its own suspect words (as many as it holds) and is rewritten; other texts are passed through without a join.
     """
     formes = materialize(canonical_words(texts), "formes")
-    texts = texts.withColumn("ligne", F.xxhash64("champ", "cle", "pos", "texte"))
-    rows = _suspect_rows(texts).select("ligne", F.explode(F.array_distinct(F.regexp_extract_all("texte", F.lit(WORD), F.lit(0)))).alias("mot")).where(F.col("mot").rlike(SUSPECT))
-    maps = _with_forms(rows.distinct(), formes).groupBy("ligne").agg(F.collect_list(F.struct("mot", "forme")).alias("formes"))
+    row = ["champ", "cle", "pos", "ligne"]
+    once = texts.withColumn("ligne", F.xxhash64("texte")).dropDuplicates(row)
+    suspect = F.col("texte").rlike(UNUSUAL) & F.col("texte").rlike(f"{DIRT}|{SUSPECT}")
+    once = materialize(once.withColumn("suspect", suspect), "textes")
+    dirty = once.where("suspect")
+    rows = dirty.select(*row, F.explode(F.array_distinct(F.regexp_extract_all("texte", F.lit(WORD), F.lit(0)))).alias("mot")).where(F.col("mot").rlike(SUSPECT))
+    maps = _with_forms(rows, formes).groupBy(*row).agg(F.collect_list(F.struct("mot", "forme")).alias("formes"))
 
     @F.pandas_udf("string")
     def rewrite(texte: pd.Series, formes: pd.Series) -> pd.Series:
         return pd.Series([_rewrite(t, f) for t, f in zip(texte, formes)])
 
-    suspect = F.col("texte").rlike(UNUSUAL) & F.col("texte").rlike(f"{DIRT}|{SUSPECT}")
-    out = texts.join(maps, "ligne", "left")
-    return out.select("champ", "cle", "pos", "texte", F.when(suspect, rewrite("texte", "formes")).otherwise(F.col("texte")).alias("forme"))
+    same = F.lit(True)
+    for c in row:
+        same = same & F.col(f"d.{c}").eqNullSafe(F.col(f"m.{c}"))
+    written = dirty.alias("d").join(maps.alias("m"), same, "left").select("d.champ", "d.cle", "d.pos", "d.texte", rewrite("d.texte", "m.formes").alias("forme"))
+    return once.where("not suspect").select("champ", "cle", "pos", "texte", F.col("texte").alias("forme")).unionByName(written)
 
 
 _jvm_word = re.compile(f"[^\\W\\d_{IGNORABLES}](?:[^\\W\\d_]|[{MARKS}{IGNORABLES}])*|[{MARKS}{IGNORABLES}]+")

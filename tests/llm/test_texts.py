@@ -98,6 +98,19 @@ def test_dirty_texts(spark):
     assert lookalikes.dirty_texts(texts.limit(0)).count() == 0
 
 
+def test_the_trie_decides(spark):
+    """Letters without a look-alike are found, and look-alikes of two letters spelled, by the vocabulary alone."""
+    rows = [("a", "une bonne énergie, un niveau de gaz de 3 kΩ"), ("b", "une boνne éηergie"), ("c", "kΩ μm Δt ΔT éηη"), ("d", "inηonnu")]
+    texts = lookalikes.written_texts(spark.createDataFrame(rows, "fichier string, texte string"), spark.createDataFrame([], "query_id long, content_terms array<string>"))
+    assert {r.mot: (r.forme, r.voie) for r in lookalikes.canonical_words(texts).collect()} == {"boνne": ("bonne", "lexique"), "éηergie": ("énergie", "lexique")}
+    assert [r.cle for r in lookalikes.dirty_texts(texts).collect()] == ["b"]
+    assert {r.cle: r.forme for r in lookalikes.consistent_texts(texts).collect()}["b"] == "une bonne énergie"
+    t = lookalikes.Trie()
+    t.add("énergie", 3)
+    assert t.match(lookalikes.readings("éηergie"), lookalikes.UNKNOWN_COST) == "énergie" and t.match(lookalikes.readings("éηergie")) is None
+    assert lookalikes.by_table("boνne") == "bovne" and lookalikes.by_table("éηergie") == "éηergie"
+
+
 # problem 5
 
 
