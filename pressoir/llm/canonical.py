@@ -14,13 +14,15 @@ from pyspark.sql import functions as F
 
 from ..session import join_margin, materialize
 
-# Words that carry no meaning in a label, and words that only announce one.
+# Words that carry no meaning in a label, and words (with their usual short forms) that only announce one, where the list itself does not use them.
 EMPTY_WORDS = frozenset("a au aux d de des du en et l la le les un une".split())
-LEAD_WORDS = frozenset("rub rubr rubrique suite cat categorie theme".split())
+LEAD_WORDS = frozenset("cat categorie chap chapitre dom domaine intitule rub rubr rubrique sect section suite sujet theme thematique titre".split())
 #: Digits typed for letters.
 DIGIT_LETTERS = str.maketrans("01", "ol")
-#: Most entries of a reference list whose compact spellings are compared with every distinct value.
-MOST_ENTRIES = 20_000
+#: Edits by which a value written without its blanks may differ from an entry to be looked up by its letters alone.
+GLUED_EDITS = 3
+#: Squared weight of a token that matches no reference word.
+STRANGE = 2.5**2
 #: Least score of an accepted entry.
 LEAST_SCORE = 0.62
 
@@ -35,13 +37,12 @@ def tokens_of(value: str) -> list[str]:
     """Folded tokens of a typed value; an abbreviated token keeps its full stop.
 
     Camel case is parted, digits inside words read as the letters they look like, words that only
-    announce the value ("rubrique", "suite") are left out.
+    announce the value ("rubrique", "suite") stay here and are left out by ``rank``'s callers, where the list does not use them.
     """
     value = re.sub(r"(?<=[a-zà-ÿ])(?=[A-ZÀ-Þ][a-zà-ÿ])", " ", value)
     value = fold(value)
     value = re.sub(r"[0-9a-z]+", lambda m: m.group().translate(DIGIT_LETTERS) if re.search(r"[a-z]", m.group()) else m.group(), value)
-    found = [m.group() for m in re.finditer(r"[a-z0-9]+\.?", value)]
-    return [t for t in found if t.rstrip(".") not in LEAD_WORDS]
+    return [m.group() for m in re.finditer(r"[a-z0-9]+\.?", value)]
 
 
 def osa(a: str, b: str, most: int) -> int:
@@ -82,25 +83,100 @@ def deletions(token: str, depth: int) -> set[str]:
     return out
 
 
+class Entry:
+    """An entry of the canonical list, prepared for ranking."""
+
+    __slots__ = ("ident", "words", "content", "weight", "norm", "spellings", "initials")
+
+    def __init__(self, ident: int, words: list[str], weights: list[float]):
+        self.ident, self.words = ident, words
+        self.weight = dict(zip(words, weights))
+        self.content = [w for w in words if w not in EMPTY_WORDS]
+        self.norm = math.sqrt(sum(x * x for x in weights)) or 1.0
+        self.spellings = spellings(words)
+        self.initials = initials(words)
+
+
+def words_of(label: str) -> list[str]:
+    return re.findall(r"[a-z0-9]+", fold(label))
+
+
+def spellings(words: list[str]) -> set[str]:
+    """An entry's letters without blanks: all of them, without empty words, and with the order turned round."""
+    full = [w for w in words if w not in EMPTY_WORDS]
+    return {"".join(words), "".join(full)} | ({"".join(reversed(full))} if len(full) > 1 else set())
+
+
+def initials(words: list[str]) -> set[str]:
+    full = [w for w in words if w not in EMPTY_WORDS]
+    return {"".join(w[0] for w in words), "".join(w[0] for w in full)} if len(full) > 1 else set()
+
+
+def word_weight(word: str, entries: int, holders: int) -> float:
+    return (0.15 if word in EMPTY_WORDS else 1.0) * math.log(1 + (entries + 1) / holders)
+
+
 class Reference:
-    """A canonical list, prepared for ranking."""
-
-    def __init__(self, entries: Iterable[tuple[int, str]]):
-        self.entries = []
-        rows = [(int(i), str(s)) for i, s in entries if i is not None and s is not None]
-        words = [[w for w in re.findall(r"[a-z0-9]+", fold(s))] for _, s in rows]
-        holders = Counter(w for ws in words for w in set(ws))
-        self.weight = {w: (0.15 if w in EMPTY_WORDS else 1.0) * math.log(1 + (len(rows) + 1) / n) for w, n in holders.items()}
-        for (i, s), ws in zip(rows, words):
-            full = [w for w in ws if w not in EMPTY_WORDS]
-            norm = math.sqrt(sum(self.weight[w] ** 2 for w in ws)) or 1.0
-            spellings = {"".join(ws), "".join(full)}
-            if len(full) > 1:
-                spellings.add("".join(reversed(full)))
-            self.entries.append((i, ws, full, norm, spellings, {"".join(w[0] for w in ws), "".join(w[0] for w in full)} if len(full) > 1 else set()))
-
-    def vocabulary(self) -> list[str]:
-        return sorted(self.weight)
+    """A small canonical list as a whole."""
+
+    def __init__(self, rows: Iterable[tuple[int, str]]):
+        parted = [(int(i), words_of(str(s))) for i, s in rows if i is not None and s is not None]
+        holders = Counter(w for _, ws in parted for w in set(ws))
+        self.weight = {w: word_weight(w, len(parted), n) for w, n in holders.items()}
+        self.entries = [Entry(i, ws, [self.weight[w] for w in ws]) for i, ws in parted]
+
+
+def segments(text: str) -> list[tuple[int, str]]:
+    """GLUED_EDITS + 1 pieces of the text, with their places: of any text within so many edits one piece is whole (pigeonhole)."""
+    n = GLUED_EDITS + 1
+    cuts = [i * len(text) // n for i in range(n + 1)]
+    return [(a, text[a:b]) for a, b in zip(cuts, cuts[1:])]
+
+
+def entry_keys(words: list[str]) -> list[str]:
+    """Keys under which the letters of an entry are looked up."""
+    return sorted({f"{len(s)} {i} {piece}" for s in spellings(words) if len(s) > GLUED_EDITS for i, (_, piece) in enumerate(segments(s))} | {f"! {x}" for x in initials(words)})
+
+
+def value_keys(glued: str, longest: int) -> list[str]:
+    """Keys of all entries whose letters are within GLUED_EDITS edits, or whose initials the value is; none for a value longer than any of them."""
+    out = {f"! {glued}"} if 2 <= len(glued) <= 6 else set()
+    if 3 < len(glued) <= longest + GLUED_EDITS:
+        n = GLUED_EDITS + 1
+        for size in range(max(n, len(glued) - GLUED_EDITS), len(glued) + GLUED_EDITS + 1):
+            for i in range(n):
+                a, b = i * size // n, (i + 1) * size // n
+                for at in range(max(0, a - GLUED_EDITS), min(len(glued) - (b - a), a + GLUED_EDITS) + 1):
+                    out.add(f"{size} {i} {glued[at : at + b - a]}")
+    return sorted(out)
+
+
+def leading_words(tokens: list[str], repairs: dict[str, list[tuple[str, float, float]]]) -> list[str]:
+    """The reference words by which candidates are looked up: those of the rarest tokens.
+
+    The score of an entry is at most the root of the share of the tokens' squared weight that it matches. Tokens of the commonest words are left out as long
+    as an entry that matched nothing else could not reach LEAST_SCORE: no entry that can be accepted for its tokens is lost.
+    """
+    able = []
+    rest = 0.0
+    for t in tokens:
+        bare = t.rstrip(".")
+        reads = repairs.get(bare, ())
+        if bare in EMPTY_WORDS:
+            continue
+        if not reads:
+            rest += 0.0 if len(bare) == 1 and t.endswith(".") else STRANGE  # one letter with a full stop may stand for any word
+        else:
+            able.append((max(w for _, _, w in reads) ** 2, min(min(w for _, _, w in reads) ** 2, STRANGE), [m for m, _, _ in reads]))
+    able.sort(key=lambda x: x[0])
+    least = sum(x[1] for x in able) + rest
+    left_out = skipped = 0.0
+    k = 0
+    for most, low, _ in able:
+        if skipped + most >= LEAST_SCORE**2 * (skipped + most + least - left_out - low):
+            break
+        skipped, left_out, k = skipped + most, left_out + low, k + 1
+    return sorted({m for _, _, ms in able[k:] for m in ms})
 
 
 def _abbreviates(parts: list[str], words: list[str]) -> bool:
@@ -108,8 +184,8 @@ def _abbreviates(parts: list[str], words: list[str]) -> bool:
     return len(parts) == len(words) and all(w.startswith(p) for p, w in zip(parts, words))
 
 
-def rank(ref: Reference, tokens: list[str], repairs: dict[str, list[tuple[str, float]]]) -> tuple[int, float]:
-    """(id, score) of the entry meant by the tokens; id 0 where none scores LEAST_SCORE.
+def rank(ref: Reference | list[Entry], tokens: list[str], repairs: dict[str, list[tuple[str, float]]]) -> tuple[int, float]:
+    """(id, score) of the entry meant by the tokens, among those of a list or of the candidates; id 0 where none scores LEAST_SCORE.
 
     ``repairs`` gives, for a token, reference words with their likeness. Soft TF-IDF weighs the repaired
     tokens; spellings without blanks, initials and shortened words are further readings of the same tokens.
@@ -120,10 +196,10 @@ def rank(ref: Reference, tokens: list[str], repairs: dict[str, list[tuple[str, f
     bare = [t.rstrip(".") for t in tokens]
     glued = "".join(bare)
     full = [t for t in bare if t not in EMPTY_WORDS] or bare
-    heavy = sum(1.0 if t not in EMPTY_WORDS else 0.15 for t in bare)
     short = any(t.endswith(".") for t in tokens)
     best = (0.0, 0)
-    for ident, words, content, norm, spellings, initials in ref.entries:
+    for entry in ref.entries if isinstance(ref, Reference) else ref:
+        ident, words, content, norm, weight = entry.ident, entry.words, entry.content, entry.norm, entry.weight
         # soft TF-IDF over repaired tokens: a word of the entry serves one token
         left, got, mass = list(words), 0.0, 0.0
         for raw, t in zip(tokens, bare):
@@ -138,15 +214,15 @@ def rank(ref: Reference, tokens: list[str], repairs: dict[str, list[tuple[str, f
                     s = max(s, 0.9 if len(t) > 2 else 0.6)
                 if s > sim:
                     pick, sim = w, s
-            w_t = ref.weight[pick] if pick else 2.5 if t not in EMPTY_WORDS else 0.3
+            w_t = weight[pick] if pick else 2.5 if t not in EMPTY_WORDS else 0.3
             mass += w_t * w_t
             if pick:
                 left.remove(pick)
-                got += sim * w_t * ref.weight[pick]
+                got += sim * w_t * weight[pick]
         score = got / (norm * math.sqrt(mass)) if mass else 0.0
         # the same letters with blanks lost, moved or doubled
         most = 1 + max(len(glued), 4) // 4
-        for s in spellings:
+        for s in entry.spellings:
             if abs(len(s) - len(glued)) <= most and len(glued) > 3:
                 bag = Counter(s)
                 bag.subtract(glued)
@@ -157,7 +233,7 @@ def rank(ref: Reference, tokens: list[str], repairs: dict[str, list[tuple[str, f
                 d = min(osa(glued, s[: len(glued) + k], slack) for k in (-1, 0, 1))
                 if d <= slack:
                     score = max(score, 0.88 - 0.1 * d)
-        if glued in initials and 2 <= len(glued) <= 6:
+        if glued in entry.initials and 2 <= len(glued) <= 6:
             score = max(score, 0.9)
         elif len(bare) > 1 and (_abbreviates(bare, words) or _abbreviates(full, content)) and max(map(len, bare)) > 2:
             score = max(score, 0.8)
@@ -172,14 +248,15 @@ def map_values(values: DataFrame, reference: DataFrame, value: str = "valeur", e
     Null and blank values are left out; entree is 0 where no entry is meant. Values equal to a
     label map to it. Distinct values are parted into tokens; each distinct token is joined to
     the reference vocabulary by edit distance (an equi-join on what is left after up to two deletions,
-    then the exact distance), and per value the repaired tokens are ranked against complete entries.
-    The reference list is read to the driver: at most MOST_ENTRIES entries, else ValueError; an empty list maps everything to 0.
+    then the exact distance; tokens longer than any word allows are not repaired). The repaired tokens lead to the candidates: entries that hold the words of a value's rarest
+    tokens, words that begin with a shortened token, one slip allowed, entries with these initials, and, where a token stays unknown, entries whose letters without blanks lie within
+    GLUED_EDITS edits (found by the piece that so many edits leave whole). Soft TF-IDF over the repaired tokens then ranks a value's candidates only. Reference lists of any size; an empty
+    one maps everything to 0. Entries with a null id or label are ignored.
     """
-    spark = values.sparkSession
-    rows = reference.select(F.col(entry_id).alias("i"), F.col(label).alias("s")).limit(MOST_ENTRIES + 1).collect()
-    if len(rows) > MOST_ENTRIES:
-        raise ValueError(f"the reference list has more than {MOST_ENTRIES} entries")
-    ref = Reference((r["i"], r["s"]) for r in rows)
+
+    @F.pandas_udf("array<string>")
+    def words_udf(col: pd.Series) -> pd.Series:
+        return col.map(words_of)
 
     @F.pandas_udf("array<string>")
     def tokens_udf(col: pd.Series) -> pd.Series:
@@ -198,27 +275,90 @@ def map_values(values: DataFrame, reference: DataFrame, value: str = "valeur", e
 
         return pd.Series([like(x, y) for x, y in zip(a, b)], dtype="float64")
 
+    @F.pandas_udf("array<string>")
+    def entry_keys_udf(col: pd.Series) -> pd.Series:
+        return col.map(lambda ws: entry_keys(list(ws)))
+
+    # the list: entries with their words and weights, words with their entries
+    listed = reference.select(F.col(entry_id).cast("int").alias("id"), F.col(label).cast("string").alias("nom")).where("id is not null and nom is not null")
+    listed = materialize(listed.withColumn("mots", words_udf("nom")).withColumn("e", F.xxhash64("id", "nom")).dropDuplicates(["e"]), "liste")
+    size = listed.count()
+    held = listed.select("e", F.posexplode("mots").alias("place", "mot"))
+    words = held.groupBy("mot").agg(F.countDistinct("e").alias("tenants"))
+    empty = F.col("mot").isin(*EMPTY_WORDS)
+    words = materialize(words.withColumn("poids", F.when(empty, 0.15).otherwise(1.0) * F.log(1 + F.lit(size + 1.0) / F.col("tenants"))), "lexique")
+    weights = held.join(words, "mot").groupBy("e").agg(F.sort_array(F.collect_list(F.struct("place", "mot", "poids"))).alias("mots"))
+    entries = materialize(listed.select("e", "id").join(weights, "e"), "entrees_ref")
+    holders = held.select("mot", "e").distinct()
+    longest, longest_entry = words.agg(F.coalesce(F.max(F.length("mot")), F.lit(0))).first()[0], listed.agg(F.coalesce(F.max(F.length(F.array_join("mots", ""))), F.lit(0))).first()[0]
+
+    # the values, their tokens, and the tokens' readings
     distinct = values.select(F.col(value).cast("string").alias("valeur")).where(F.trim(F.regexp_replace("valeur", r"\s", " ")) != "").distinct()
-    distinct = materialize(distinct.withColumn("jetons", tokens_udf("valeur")), "valeurs")
-    tokens = distinct.select(F.explode(F.transform("jetons", lambda t: F.rtrim(F.regexp_replace(t, r"\.", " ")))).alias("jeton")).distinct()
-    vocabulary = spark.createDataFrame([(w,) for w in ref.vocabulary()], "mot string")
-    by_rest = tokens.select("jeton", F.explode(deletions_udf("jeton")).alias("reste"))
-    pairs = by_rest.join(vocabulary.select("mot", F.explode(deletions_udf("mot")).alias("reste")), "reste").select("jeton", "mot").distinct()
-    repairs = pairs.withColumn("s", likeness_udf("jeton", "mot")).where("s > 0").groupBy("jeton").agg(F.collect_list(F.struct("mot", "s")).alias("lectures"))
-    used = distinct.select("valeur", "jetons", F.explode_outer(F.transform("jetons", lambda t: F.rtrim(F.regexp_replace(t, r"\.", " ")))).alias("jeton"))
-    joined = used.join(repairs, "jeton", "left").groupBy("valeur").agg(F.first("jetons").alias("jetons"), F.collect_set(F.struct("jeton", "lectures")).alias("lectures"))
+    own = {r[0] for r in words.where(F.col("mot").isin(*LEAD_WORDS)).select("mot").collect()}
+    lead = [F.lit(w) for w in sorted(LEAD_WORDS - own)]
+    bare = lambda t: F.rtrim(F.regexp_replace(t, r"\.", " "))
+    distinct = distinct.withColumn("jetons", tokens_udf("valeur")).withColumn("jetons", F.filter("jetons", lambda t: ~bare(t).isin(*lead)))
+    distinct = materialize(distinct, "valeurs")
+    used = distinct.select("valeur", F.explode(F.array_distinct(F.transform("jetons", bare))).alias("jeton"))
+    tokens = materialize(used.groupBy("jeton").agg(F.count("*").alias("fois")), "jetons_saisis")
+    by_rest = tokens.where(F.length("jeton") <= longest + 2).select("jeton", F.explode(deletions_udf("jeton")).alias("reste"))
+    pairs = by_rest.join(words.select("mot", F.explode(deletions_udf("mot")).alias("reste")), "reste").select("jeton", "mot").distinct()
+    near = pairs.withColumn("s", likeness_udf("jeton", "mot")).where("s > 0").join(words, "mot").select("jeton", "mot", "s", "poids")
+    repairs = near.groupBy("jeton").agg(F.collect_list(F.struct("mot", "s", "poids")).alias("lectures")).join(tokens, "jeton")
+    repairs = materialize(repairs, "lectures")
+    total = tokens.agg(F.coalesce(F.sum("fois"), F.lit(1))).first()[0]
+    reads = join_margin(used, repairs, "jeton", F.col("fois"), total).groupBy("valeur").agg(F.collect_list(F.struct("jeton", "lectures")).alias("lectures"))
+    joined = materialize(distinct.join(reads, "valeur", "left"), "repares")
+
+    def repaired(reads) -> dict[str, list[tuple[str, float, float]]]:
+        return {x["jeton"]: [(y["mot"], y["s"], y["poids"]) for y in x["lectures"]] for x in reads} if reads is not None else {}
+
+    @F.pandas_udf("array<string>")
+    def leading_udf(jetons: pd.Series, lectures: pd.Series) -> pd.Series:
+        return pd.Series([leading_words(list(ts), repaired(rs)) for ts, rs in zip(jetons, lectures)])
+
+    @F.pandas_udf("array<string>")
+    def keys_udf(jetons: pd.Series, lectures: pd.Series) -> pd.Series:
+        def one(ts: list[str], known: dict) -> list[str]:
+            plain = [t.rstrip(".") for t in ts]
+            return value_keys("".join(plain), longest_entry) if any(t not in known and t not in EMPTY_WORDS for t in plain) or len(plain) == 1 else []
+
+        return pd.Series([one(list(ts), repaired(rs)) for ts, rs in zip(jetons, lectures)])
+
+    # candidates: by words, by beginnings of words, by letters and initials
+    by_word = joined.select("valeur", F.explode(leading_udf("jetons", "lectures")).alias("mot"))
+    beginnings = words.where(~empty).select("mot", F.explode(F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), F.length("mot"))), lambda n: F.substring("mot", 1, n))).alias("jeton")).where(F.col("jeton") != F.col("mot"))
+    shortened = joined.select("valeur", F.explode("jetons").alias("t")).select("valeur", bare(F.col("t")).alias("jeton"), F.col("t").endswith(".").alias("abrege"))
+    shortened = shortened.join(repairs.select("jeton", F.lit(True).alias("connu")), "jeton", "left").where("abrege or connu is null").where(F.length("jeton").between(2, longest)).select("valeur", "jeton").distinct()
+
+    @F.pandas_udf("array<string>")
+    def slips_udf(col: pd.Series) -> pd.Series:
+        return col.map(lambda t: sorted(deletions(t, len(t) > 3)))
+
+    shortened, beginnings = [d.select("*", F.explode(slips_udf("jeton")).alias("reste")) for d in (shortened, beginnings)]
+    opens = shortened.join(beginnings, "reste").select("valeur", "mot").distinct()
+    asked = by_word.unionByName(opens).distinct()
+    lists = holders.groupBy("mot").agg(F.collect_list("e").alias("es")).join(asked.groupBy("mot").agg(F.count("*").alias("fois")), "mot")
+    by_word = join_margin(asked, lists, "mot", F.col("fois"), total).select("valeur", F.explode("es").alias("e"))
+    by_letters = joined.select("valeur", F.explode(keys_udf("jetons", "lectures")).alias("cle_e")).join(listed.select("e", F.explode(entry_keys_udf("mots")).alias("cle_e")), "cle_e").select("valeur", "e")
+    candidates = by_word.unionByName(by_letters).distinct().join(entries, "e").groupBy("valeur").agg(F.collect_list(F.struct("id", "mots")).alias("candidats"))
 
     @F.pandas_udf("entree int, score double")
-    def rank_udf(jetons: pd.Series, lectures: pd.Series) -> pd.DataFrame:
-        out = []
-        for toks, reads in zip(jetons, lectures):
-            repaired = {x["jeton"]: [(y["mot"], y["s"]) for y in x["lectures"]] for x in reads if x["jeton"] is not None and x["lectures"] is not None}
-            out.append(rank(ref, list(toks), repaired))
+    def rank_udf(jetons: pd.Series, lectures: pd.Series, candidats: pd.Series) -> pd.DataFrame:
+        out, made = [], {}
+        for toks, rs, cs in zip(jetons, lectures, candidats):
+            found = []
+            for c in cs if cs is not None else ():
+                key = (c["id"], *(w["mot"] for w in c["mots"]))
+                if key not in made:
+                    made[key] = Entry(c["id"], [w["mot"] for w in c["mots"]], [w["poids"] for w in c["mots"]])
+                found.append(made[key])
+            out.append(rank(found, list(toks), {t: [(m, s) for m, s, _ in x] for t, x in repaired(rs).items()}))
         return pd.DataFrame(out, columns=["entree", "score"])
 
-    wide = joined.repartition(3 * spark.sparkContext.defaultParallelism)  # ranking costs far more than its bytes tell
-    ranked = wide.select("valeur", rank_udf.asNondeterministic()("jetons", "lectures").alias("r")).select("valeur", "r.entree", F.round("r.score", 6).alias("score"))
-    exact = reference.select(F.col(label).alias("valeur"), F.col(entry_id).cast("int").alias("exact")).where("valeur is not null").groupBy("valeur").agg(F.min("exact").alias("exact"))
+    wide = joined.join(candidates, "valeur", "left").repartition(3 * values.sparkSession.sparkContext.defaultParallelism)  # ranking costs far more than its bytes tell
+    ranked = wide.select("valeur", rank_udf.asNondeterministic()("jetons", "lectures", "candidats").alias("r")).select("valeur", "r.entree", F.round("r.score", 6).alias("score"))
+    exact = listed.groupBy(F.col("nom").alias("valeur")).agg(F.min("id").alias("exact"))
     return ranked.join(exact, "valeur", "left").select("valeur", F.coalesce("exact", "entree").alias("entree"), F.when(F.col("exact").isNotNull(), 1.0).otherwise(F.col("score")).alias("score"))
 
 

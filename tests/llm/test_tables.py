@@ -1,6 +1,7 @@
 """Operators over tables of counts, values and sizes: problems 2, 4, 6, 8, 9."""
 
 import math
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -108,6 +109,34 @@ def test_mapping(spark):
     assert {r.rubric_id for r in canonical.map_rubrics(articles, asked, ref.limit(0)).collect()} == {0}
 
 
+def test_long_lists(spark, monkeypatch):
+    """A list of some thousand entries: candidates come by repaired tokens; without repair misspelt values are lost."""
+    rng = random.Random(12)
+    syllables = [a + b for a in "bcdfglmnprstv" for b in "aeiou"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(3, 5)))
+    labels = sorted({f"{word()} {word()}" for _ in range(3_000)}) + [f"commune {word()}" for _ in range(500)]
+    ref = spark.createDataFrame(list(enumerate(labels, 1)), "rubric_id int, libelle string")
+    wrong = {}
+    for i in rng.sample(range(len(labels)), 60):
+        a, b = labels[i].split()
+        k = rng.randrange(1, len(b) - 1)
+        wrong[f"{b[:k]}x{b[k + 1 :]} {a}"] = i + 1
+    values = spark.createDataFrame([(v,) for v in wrong], "valeur string")
+    got = {r.valeur: r.entree for r in canonical.map_values(values, ref).collect()}
+    assert sum(got[v] == i for v, i in wrong.items()) >= 57
+    monkeypatch.setattr(canonical, "allowed", lambda _: 0)
+    monkeypatch.setattr(canonical, "value_keys", lambda *_: [])
+    bare = {r.valeur: r.entree for r in canonical.map_values(values, ref).collect()}
+    assert sum(bare[v] == i for v, i in wrong.items()) <= 30
+
+
+def test_common_tokens_lead_to_no_candidates():
+    common, rare = ("energie", 1.0, 0.5), ("solaire", 1.0, 4.0)
+    assert canonical.leading_words(["energie", "solaire"], {"energie": [common], "solaire": [rare]}) == ["solaire"]
+    assert canonical.leading_words(["energie"], {"energie": [common]}) == ["energie"]
+    assert canonical.leading_words(["de", "xyz"], {}) == []
+
+
 def test_long_value(spark):
     ref = canonical.Reference(LABELS)
     assert canonical.rank(ref, canonical.tokens_of("x" * 20_000), {})[0] == 0
