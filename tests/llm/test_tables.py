@@ -118,9 +118,11 @@ def test_long_lists(spark, monkeypatch):
     ref = spark.createDataFrame(list(enumerate(labels, 1)), "rubric_id int, libelle string")
     wrong = {}
     for i in rng.sample(range(len(labels)), 60):
-        a, b = labels[i].split()
-        k = rng.randrange(1, len(b) - 1)
-        wrong[f"{b[:k]}x{b[k + 1 :]} {a}"] = i + 1
+        typed = []
+        for w in labels[i].split():
+            k = rng.randrange(1, len(w) - 1)
+            typed.append(f"{w[:k]}x{w[k + 1 :]}")
+        wrong[" ".join(reversed(typed))] = i + 1
     values = spark.createDataFrame([(v,) for v in wrong], "valeur string")
     got = {r.valeur: r.entree for r in canonical.map_values(values, ref).collect()}
     assert sum(got[v] == i for v, i in wrong.items()) >= 57
