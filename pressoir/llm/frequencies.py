@@ -8,7 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .metrics import clean_term, term_counts
+from ..session import materialize
+from .metrics import BLANKS, clean_term, zone_counts
 
 #: Separates the tokens of a suffix; sorts before every character of a token.
 SEP = "\u0001"
@@ -19,7 +20,7 @@ def suffixes(df: DataFrame, key: str, text: str, longest: int) -> DataFrame:
 
     Tokens are runs of letters, digits and underscores in lower case. A suffix carries the
     ``longest`` tokens from its position on, enough to tell every n-gram up to that length; the text
-    itself is read whole. Null keys, null and empty texts give no rows.
+    itself is read whole, and a key's texts are one record. Null keys, null and empty texts give no rows.
     """
     tokens = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
     rows = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("string").alias("record"), tokens.alias("t"))
@@ -33,58 +34,85 @@ def most_tokens(df: DataFrame, text: str) -> int:
     return max(1, df.where(F.col(text).isNotNull()).agg(F.max(F.size(tokens))).first()[0] or 0)
 
 
+def _prefix(a: list[str], b: list[str]) -> int:
+    n = 0
+    for x, y in zip(a, b):
+        if x != y:
+            break
+        n += 1
+    return n
+
+
+def _adjacent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Scan a slice sorted by (record, suffix): for each suffix the common prefix, in tokens, with the one before of the same record; -1 at the start of the slice."""
+    from pyspark import TaskContext
+
+    piece = TaskContext.get().partitionId()
+    last_record, last, started = None, [], False
+    for batch in batches:
+        shared = []
+        for suffix, record in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            toks = suffix.split(SEP)
+            shared.append(-1 if not started else _prefix(last, toks) if record == last_record else 0)
+            last_record, last, started = record, toks, True
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared, pa.int32()), pa.array([piece] * len(shared), pa.int32())], names=["suffix", "record", "poids", "commun", "tranche"])
+
+
+def within_records(suffix_rows: DataFrame) -> DataFrame:
+    """(suffix, poids, commun): each suffix with the length of the prefix that it shares with its neighbour among its own record's sorted suffixes.
+
+    Sorted by (record, suffix) in slices, so that a record may hold any share of the rows. What a slice's first suffix shares
+    with the last of an earlier slice is settled on the driver, one row a slice.
+    """
+    spark = suffix_rows.sparkSession
+    sliced = suffix_rows.repartitionByRange("record", "suffix").sortWithinPartitions("record", "suffix")
+    rows = materialize(sliced.mapInArrow(_adjacent, "suffix string, record string, poids long, commun int, tranche int"), "suffixes")
+    firsts = {r.tranche: (r.record, r.suffix) for r in rows.where("commun = -1").select("tranche", "record", "suffix").collect()}
+    ends = {r.tranche: tuple(r.fin) for r in rows.groupBy("tranche").agg(F.max(F.struct("record", "suffix")).alias("fin")).collect()}
+    settled, before = [], None
+    for piece in sorted(firsts):
+        record, suffix = firsts[piece]
+        settled.append((piece, _prefix(before[1].split(SEP), suffix.split(SEP)) if before and before[0] == record else 0))
+        before = ends[piece]
+    edges = spark.createDataFrame(settled, "tranche int, bord int")
+    out = rows.join(F.broadcast(edges), "tranche")
+    return out.select("suffix", "poids", F.when(F.col("commun") < 0, F.col("bord")).otherwise(F.col("commun")).alias("commun"))
+
+
 def _intervals(longest: int):
     """Scan one sorted slice of the suffix array; give partial counts of its n-grams.
 
-    For each depth n the suffixes sharing their first n tokens are one interval of the
-    array: an occurrence belongs to it, and so does a within-record duplicate, a suffix
-    whose previous suffix of the same record lies in the same interval. Intervals that touch an end
-    of the slice may go on in its neighbour: they are given record by record, so that a record in both counts once.
+    For each depth n the suffixes sharing their first n tokens are one interval of the array, and each of them is an occurrence. One that shares n tokens or more with
+    its neighbour within its record is a within-record duplicate: it is subtracted from the record count. Both counts add up over the slices that an interval spans.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prev: list[str] = []
-        open_: list = [None] * longest  # per depth: [gram, occurrences, {record: occurrences}, touches the start]
+        open_: list[list[int]] = []  # per depth of the last suffix: [occurrences, records]
         out: list[tuple] = []
-        first = True
-
-        def close(depth: int, edge: bool) -> None:
-            run = open_[depth]
-            if run is None:
-                return
-            open_[depth] = None
-            if edge or run[3]:
-                out.extend((run[0], depth + 1, n, 0, r) for r, n in run[2].items())
-            else:
-                out.append((run[0], depth + 1, run[1], len(run[2]), None))
+
+        def close(depth: int) -> None:
+            while len(open_) > depth:
+                occurrences, records = open_.pop()
+                out.append((SEP.join(prev[: len(open_) + 1]), len(open_) + 1, occurrences, records))
 
         def flush() -> pa.RecordBatch:
-            cols = list(zip(*out)) if out else [[]] * 5
+            cols = list(zip(*out)) if out else [[]] * 4
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.string())], names=["gram", "n", "occurrences", "records", "record"])
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], names=["gram", "n", "occurrences", "records"])
 
         for batch in batches:
-            for suffix, record, weight in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                toks = suffix.split(SEP)
-                lcp = 0
-                for a, b in zip(prev, toks):
-                    if a != b:
-                        break
-                    lcp += 1
-                for depth in range(lcp, longest):
-                    close(depth, False)
-                for depth in range(min(len(toks), longest)):
-                    run = open_[depth]
-                    if run is None:
-                        run = open_[depth] = [SEP.join(toks[: depth + 1]), 0, {}, first]
-                    run[1] += weight
-                    run[2][record] = run[2].get(record, 0) + weight
-                first = False
+            for suffix, weight, shared in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+                toks = suffix.split(SEP)[:longest]
+                close(_prefix(prev, toks))
                 prev = toks
+                open_ += [[0, 0] for _ in range(len(toks) - len(open_))]
+                for depth, run in enumerate(open_):
+                    run[0] += weight
+                    run[1] += depth >= shared
                 if len(out) > 20_000:
                     yield flush()
-        for depth in range(longest):
-            close(depth, True)
+        close(0)
         yield flush()
 
     return scan
@@ -126,36 +154,34 @@ def gram_frequencies(suffix_rows: DataFrame, longest: int) -> DataFrame:
 
     The suffixes are range-partitioned and sorted: together the partitions are the suffix
     array. Each is scanned once for its common-prefix intervals; partial counts are
-    summed. With ``longest`` = 1 the array is sorted by (term, record), a record's equal
+    summed. What is subtracted within records comes from ``within_records``; with ``longest`` = 1 the array is sorted by (term, record), a record's equal
     suffixes lie side by side in one slice, and duplicates are subtracted as they are met. Tokens of a gram are parted by a blank.
     """
     if longest == 1:
         array = suffix_rows.repartitionByRange("suffix", "record").sortWithinPartitions("suffix", "record")
         part = array.mapInArrow(_unigrams, "gram string, occurrences long, records long")
         return part.groupBy("gram").agg(F.lit(1).alias("n"), F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
-    array = suffix_rows.repartitionByRange("suffix", "record").sortWithinPartitions("suffix", "record")
-    part = array.mapInArrow(_intervals(longest), "gram string, n int, occurrences long, records long, record string")
-    whole = part.where(F.col("record").isNull()).select("gram", "n", "occurrences", "records")
-    cut = part.where(F.col("record").isNotNull()).groupBy("gram", "n", "record").agg(F.sum("occurrences").alias("occurrences")).select("gram", "n", "occurrences", F.lit(1).cast("long").alias("records"))
-    out = whole.unionByName(cut).groupBy("gram", "n").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
+    array = within_records(suffix_rows).repartitionByRange("suffix").sortWithinPartitions("suffix")
+    part = array.mapInArrow(_intervals(longest), "gram string, n int, occurrences long, records long")
+    out = part.groupBy("gram", "n").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
     return out.withColumn("gram", F.translate("gram", SEP, " "))
 
 
 def term_frequencies(counts: DataFrame, stop_list: DataFrame | None = None, rare: int = 3, common: float = 0.5) -> DataFrame:
     """(mot, occurrences, articles, marque) of every term of a count table and of a stop-list.
 
-    ``counts`` is read by ``term_counts`` (see there for nulls and repeated rows): each of
-    its cells is a suffix of one token that stands for tf occurrences in its record. marque is 'rare' where fewer than
+    ``counts`` is read by ``zone_counts`` (see there for nulls and repeated rows): each of
+    its rows is a suffix of one token that stands for tf occurrences in one zone of its record; the same term in another zone lies next to it in the array and is subtracted from the record count. marque is 'rare' where fewer than
     ``rare`` records hold the term (none included), 'commun' where more than the share
     ``common`` of all records do, else null; a term for which both hold, possible with fewer than six records, gets two rows.
     Stop-list entries that are null or blank are ignored.
     """
-    cells = term_counts(counts).select(F.col("mot").alias("suffix"), F.col("document_id").alias("record"), F.col("tf").alias("poids"))
+    cells = zone_counts(counts).select(F.col("mot").alias("suffix"), F.col("document_id").alias("record"), F.col("tf").alias("poids"))
     freq = gram_frequencies(cells, 1).select(F.col("gram").alias("mot"), "occurrences", F.col("records").alias("articles"))
     if stop_list is not None:
         stops = stop_list.select(clean_term(F.col("mot")).alias("mot")).where(F.col("mot") != "").distinct()
         freq = freq.unionByName(stops.select("mot", F.lit(0).cast("long").alias("occurrences"), F.lit(0).cast("long").alias("articles")))
         freq = freq.groupBy("mot").agg(F.sum("occurrences").alias("occurrences"), F.sum("articles").alias("articles"))
-    docs = counts.where(F.col("document_id").isNotNull() & (clean_term(F.col("mot")) != "")).agg(F.countDistinct("document_id")).first()[0]
+    docs = counts.where(F.col("document_id").isNotNull() & F.col("mot").rlike(BLANKS.replace("[", "[^").rstrip("+"))).agg(F.countDistinct("document_id")).first()[0]
     marks = F.array_compact(F.array(F.when(F.col("articles") < rare, F.lit("rare")), F.when(F.col("articles") > common * docs, F.lit("commun"))))
     return freq.select("mot", "occurrences", "articles", F.explode_outer(marks).alias("marque"))

@@ -25,7 +25,7 @@ def p1_repares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.most_distinctive(metrics.distinctiveness(table(spark, d, "token_metrics")))
+    return metrics.most_distinctive(metrics.distinctiveness(table(spark, d, "token_metrics"), residuals=False))
 
 
 def p2_residuals(spark: SparkSession, d: str) -> DataFrame:
