@@ -155,12 +155,10 @@ _letters = re.compile("[A-Za-z]")
 _TWO_LETTERS = "(?s)[A-Za-z].*[A-Za-z]"
 #: Chains of single-byte encodings only.
 _SINGLE = frozenset(i for i, (_, steps) in enumerate(CHAINS) if all(right != "utf-8" for _, right in steps))
-#: A reading less likely than this against the token as written is no candidate (natural logarithm).
-LEAST_GAIN = -2.0
 
 
 def gains(token: str, language: Language) -> list[tuple[int, str, float]]:
-    """(chain, reading, log likelihood against the token as written) of the readings worth weighing.
+    """(chain, reading, log likelihood against the token as written) of all readings, unlikely ones too: their records and sources may speak for them.
 
     A sign without letters around it is no evidence for a chain of single bytes: such readings
     lose a little, so that only their record and source can make them likely.
@@ -170,8 +168,7 @@ def gains(token: str, language: Language) -> list[tuple[int, str, float]]:
     out = []
     for got, chains in candidates(token).items():
         gain = language.score(got) - own
-        if gain > LEAST_GAIN:
-            out += [(i, got, min(gain, -1.0) if bare and i in _SINGLE else gain) for i in chains]
+        out += [(i, got, min(gain, -1.0) if bare and i in _SINGLE else gain) for i in chains]
     return out
 
 
@@ -282,14 +279,14 @@ def damaged_tokens(rows: DataFrame, fields: list[str], key: str, source: str) ->
     again on the tokens as read after a first pass. At last each record's own tokens update its source's
     prior by EM, and a token is garbled where the posterior of all chains exceeds LEAST_POSTERIOR (SURE_POSTERIOR in a record
     with others beyond doubt); its reading is the likeliest.
-    Tokens with U+FFFD are garbled for good: chaine 'perdu', lecture null. Repeated rows and null fields: null texts hold no tokens, rows equal in key and field are pooled. A null source is a source of its own.
+    Tokens with U+FFFD are garbled for good: chaine 'perdu', lecture null. Repeated rows and null fields: null texts hold no tokens, rows equal in key and field are pooled, a text delivered twice speaks twice. A null source is a source of its own.
     """
     spark = rows.sparkSession
     parts = [rows.select(F.col(key).cast("string").alias("cle"), F.lit(f).alias("champ"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("site"), F.col(f).alias("texte")) for f in fields]
     texts = parts[0]
     for p in parts[1:]:
         texts = texts.unionByName(p)
-    tokens = texts.where(F.col("texte").isNotNull()).distinct().select("cle", "champ", "site", F.explode(F.split("texte", r"[ \n\t\r]+")).alias("jeton")).where(F.col("jeton").rlike(r"[^\x00-\x7f]"))
+    tokens = texts.where(F.col("texte").isNotNull()).select("cle", "champ", "site", F.explode(F.split("texte", r"[ \n\t\r]+")).alias("jeton")).where(F.col("jeton").rlike(r"[^\x00-\x7f]"))
     counted = materialize(tokens.groupBy("cle", "champ", "site", "jeton").agg(F.count("*").alias("n")), "jetons")
     vocabulary = materialize(counted.groupBy("jeton").agg(F.sum("n").alias("n")), "vocabulaire")
     suspects = vocabulary.where(F.col("jeton").rlike(SUSPECT) & ~F.col("jeton").contains("�"))
@@ -356,5 +353,5 @@ def repaired_texts(rows: DataFrame, fields: list[str], key: str, source: str) ->
             out.append("".join(known.get(x, x) for x in re.split(r"([ \n\t\r]+)", t)))
         return pd.Series(out)
 
-    out = texts.where(F.col("texte").isNotNull()).distinct().join(maps, ["cle", "champ"])
+    out = texts.where(F.col("texte").isNotNull()).join(maps, ["cle", "champ"]).dropDuplicates(["cle", "champ", "texte"])
     return out.select("cle", "champ", "texte", mend("texte", "jetons").alias("texte_repare"), F.array_join("chaines", " ").alias("chaines"))

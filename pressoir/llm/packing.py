@@ -94,22 +94,20 @@ def pack(docs: DataFrame, containers: DataFrame, key: str = "doc_id", text: str
         table += [(int(r["contenant_id"]), *e) for e in events]
     table.sort()
     plan = np.array(table, dtype="int64").reshape(-1, 5)
-    shared = spark.sparkContext.broadcast(plan)
+    # one sortable number per (kind, length, rank): kinds and lengths are few, their index bounds the high digits
+    heads, at = np.unique(plan[:, :2], axis=0, return_inverse=True)
+    base, wide = int(plan[:, 3].max(initial=0)) + 1, MOST_CAPACITY + 1
+    shared = spark.sparkContext.broadcast((plan, heads[:, 0] * wide + heads[:, 1], at.reshape(-1) * base + plan[:, 2], base, wide))
 
     @F.pandas_udf("long")
     def container(kind: pd.Series, length: pd.Series, rank: pd.Series) -> pd.Series:
-        p = shared.value
+        plan, heads, starts, base, wide = shared.value
         if not len(kind):
             return pd.Series([], dtype="int64")
-        # one sortable number per (kind, length, rank): kinds and lengths are few, their index bounds the high digits
-        heads, at = np.unique(p[:, :2], axis=0, return_inverse=True)
-        at = at.reshape(-1)
-        base = int(p[:, 3].max()) + 1
-        index = {(a, b): i for i, (a, b) in enumerate(map(tuple, heads.tolist()))}
-        mine = np.fromiter((index[x] for x in zip(kind.tolist(), length.tolist())), "int64", len(kind))
-        pos = np.searchsorted(at * base + p[:, 2], mine * base + rank.to_numpy("int64"), side="right") - 1
-        found = p[pos]
-        return pd.Series(np.where(found[:, 1] == 0, 0, found[:, 4] + rank.to_numpy("int64") - found[:, 2]))
+        ranks = rank.to_numpy("int64")
+        mine = np.searchsorted(heads, kind.to_numpy("int64") * wide + length.to_numpy("int64"))
+        found = plan[np.searchsorted(starts, mine * base + ranks, side="right") - 1]
+        return pd.Series(np.where(found[:, 1] == 0, 0, found[:, 4] + ranks - found[:, 2]))
 
     before = Window.partitionBy("contenant_id", "jetons").orderBy("tas").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counted.select("contenant_id", "jetons", "tas", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("avant"))
