@@ -78,10 +78,6 @@ def test_sources_settle_ambiguous_tokens():
         return [t["lecture"] for t in encodings.settle_record([token], prior, 1)]
 
     assert read(mac=0.6) == ["Vàl"] and read(dos=0.6) == ["Vêl"] and read() == []
-    # a record's own sure tokens do the same for its doubtful ones
-    sure = [{"jeton": f"Žt{i}", "n": 1, "lectures": [{"chaine": mac, "lecture": f"ét{i}", "gain": 9.0}]} for i in range(16)]
-    flat = [0.05 / len(encodings.CHAINS)] * len(encodings.CHAINS)
-    assert {t["jeton"]: t["lecture"] for t in encodings.settle_record([token, *sure], flat, 17)}["Vˆl"] == "Vàl"
 
 
 # problem 3
