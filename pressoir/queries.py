@@ -293,37 +293,37 @@ def boolean_grammar(spark, d):
 
 @query(f"SELECT {RESULT} FROM docs WHERE {_holds('capteur')} OR {_holds('batterie')}")
 def nl_search_or(spark, d):
-    return _ask(spark, d, "Je voudrais les articles qui parlent de capteur ou de batterie.")
+    return _ask(spark, d, "Trouver des articles qui traitent de capteur ou de batterie")
 
 
 @query(f"SELECT {RESULT} FROM docs WHERE {_holds('couche')} AND date BETWEEN '2012-03-03' AND '2013-05-04 23:59:59.999999'")
 def nl_search_range(spark, d):
-    return _ask(spark, d, "Quels sont les articles parus entre le 3 mars 2012 et le 4 mai 2013 évoquant la couche ?")
+    return _ask(spark, d, "Afficher ce qui est paru entre le 3 mars 2012 et le 4 mai 2013 et mentionne la couche")
 
 
 @query(f"SELECT {RESULT} FROM docs WHERE ({_holds('capteur')} OR {_holds('couche')}) AND NOT ({_holds('grande')} AND {_holds('échelle')})")
 def nl_search_negated(spark, d):
-    return _ask(spark, d, "Liste des articles qui parlent soit du capteur, soit de la couche, mais pas de grande échelle.")
+    return _ask(spark, d, "Chercher soit le capteur, soit la couche, mais pas de grande échelle")
 
 
 @query(f"SELECT {RESULT} FROM docs WHERE {_holds('projet', 'titre')} AND len(list_filter(images, lambda x: x.url <> '')) > 0")
 def nl_search_title_image(spark, d):
-    return _ask(spark, d, "Je voudrais les articles avec des images dont le titre contient le mot projet.")
+    return _ask(spark, d, "Afficher les bulletins avec des photos dont le titre contient projet")
 
 
 @query(f"SELECT DISTINCT rubrique FROM docs WHERE rubrique <> '' AND {_holds('capteur')}")
 def nl_search_rubrics(spark, d):
-    return _ask(spark, d, "Dans quelles rubriques trouve-t-on des articles sur le capteur ?")
+    return _ask(spark, d, "Dans quelles rubriques parle-t-on du capteur ?")
 
 
 @query(f"SELECT {RESULT} FROM docs WHERE date BETWEEN '2012-01-01' AND '2013-12-31 23:59:59.999999' AND NOT date BETWEEN '2012-06-01' AND '2012-06-30 23:59:59.999999' AND NOT date BETWEEN '2013-06-01' AND '2013-06-30 23:59:59.999999'")
 def nl_search_month(spark, d):
-    return _ask(spark, d, "Je voudrais tous les bulletins écrits entre 2012 et 2013 mais pas au mois de juin.")
+    return _ask(spark, d, "Articles publiés de 2012 à 2013, sauf en juin")
 
 
 @query(f"SELECT {RESULT} FROM docs WHERE {_holds('couche')} AND contains(lower(rubrique), 'astronomie') AND date >= '2012-07-01'")
 def nl_search_after(spark, d):
-    return _ask(spark, d, "Je veux les articles de la rubrique Astronomie parlant de couche et publiés après juillet 2012.")
+    return _ask(spark, d, "Afficher la couche dans la rubrique Astronomie, bulletins publiés depuis juillet 2012")
 
 
 # text functions
