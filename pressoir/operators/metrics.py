@@ -7,29 +7,24 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..schema import ZONES, read_zones
+from ..session import join_margin, materialize
 
 
 def zone_tokens(docs: DataFrame, wanted: tuple[str, ...] | None = None) -> DataFrame:
     """(fichier, zone, token, tf): how often each token occurs in each zone of each document."""
-    rows = read_zones(docs)
-    if wanted is not None:
-        rows = rows.where(F.col("zone").isin(*wanted))
+    rows = read_zones(docs, wanted)
     return rows.select("fichier", "zone", F.explode(tokens("contenu")).alias("token")).groupBy("fichier", "zone", "token").agg(F.count("*").alias("tf"))
 
 
 def corpus_tokens(docs: DataFrame, wanted: tuple[str, ...] | None = None) -> DataFrame:
     """(token, tf) over the whole collection."""
-    rows = read_zones(docs)
-    if wanted is not None:
-        rows = rows.where(F.col("zone").isin(*wanted))
+    rows = read_zones(docs, wanted)
     return rows.select(F.explode(tokens("contenu")).alias("token")).groupBy("token").agg(F.count("*").alias("tf"))
 
 
 def term_frequencies(docs: DataFrame, wanted: tuple[str, ...] | None = None) -> DataFrame:
     """(document_id, mot, tf): raw counts, summed over zones."""
-    rows = read_zones(docs)
-    if wanted is not None:
-        rows = rows.where(F.col("zone").isin(*wanted))
+    rows = read_zones(docs, wanted)
     return rows.select(F.col("fichier").alias("document_id"), F.explode(tokens("contenu")).alias("mot")).groupBy("document_id", "mot").agg(F.count("*").alias("tf"))
 
 
@@ -38,18 +33,25 @@ def size(tf: DataFrame) -> DataFrame:
     return tf.agg(F.countDistinct("document_id").alias("n"))
 
 
+def _document_frequencies(tf: DataFrame) -> DataFrame:
+    """(mot, df, n) of counts that are read more than once; the number of documents is a one-row broadcast."""
+    return tf.groupBy("mot").agg(F.count("*").alias("df")).crossJoin(F.broadcast(size(tf)))
+
+
+def _idf() -> Column:
+    return F.when(F.col("df") < F.col("n"), F.log10(F.col("n") / F.col("df"))).otherwise(0.0)
+
+
 def idf(tf: DataFrame) -> DataFrame:
-    """(mot, df, idf): idf is log10(n/df), 0 for a term of every document. The size stays in the plan as a one-row broadcast."""
-    df = tf.groupBy("mot").agg(F.count("*").alias("df"))
-    value = F.when(F.col("df") < F.col("n"), F.log10(F.col("n") / F.col("df"))).otherwise(0.0)
-    return df.crossJoin(F.broadcast(size(tf))).select("mot", "df", F.round(value, 6).alias("idf"))
+    """(mot, df, idf): idf is log10(n/df), 0 for a term of every document. The counts are made once."""
+    return _document_frequencies(materialize(tf, "tf")).select("mot", "df", F.round(_idf(), 6).alias("idf"))
 
 
 def tf_idf(tf: DataFrame) -> DataFrame:
-    """(document_id, mot, tf_idf), rounded to 6 decimals."""
-    df = tf.groupBy("mot").agg(F.count("*").alias("df")).crossJoin(F.broadcast(size(tf)))
-    value = F.when(F.col("df") < F.col("n"), F.log10(F.col("n") / F.col("df"))).otherwise(0.0)
-    return tf.join(df, "mot").select("document_id", "mot", F.round(F.col("tf") * value, 6).alias("tf_idf"))
+    """(document_id, mot, tf_idf), rounded to 6 decimals. The counts are made once; hot terms are joined by their margins."""
+    tf = materialize(tf, "tf")
+    df = materialize(_document_frequencies(tf), "df")
+    return join_margin(tf, df, "mot", F.col("df"), tf.count() or 1).select("document_id", "mot", F.round(F.col("tf") * _idf(), 6).alias("tf_idf"))
 
 
 def stop_list(tf: DataFrame, threshold: float = 0.1) -> DataFrame:

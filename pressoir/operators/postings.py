@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import document_id, tokens
 from ..schema import read_zones
+from ..session import join_margin, materialize
 from .metrics import zone_tokens
 
 
@@ -21,24 +22,29 @@ LOT = 10_000
 
 def lots(rows: DataFrame, keys: list[str], document: str) -> DataFrame:
     """The rows with ``lot``: 0 for keys of at most LOT rows, else a number from the document's hash, so that no list grows with the collection."""
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > LOT)
+    rows = materialize(rows, "lots")
+    sizes = materialize(rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > LOT), "tailles")
     number = F.conv(F.substring(F.md5(F.col(document)), 1, 8), 16, 10).cast("long")
-    out = rows.join(sizes, keys, "left")
+    out = join_margin(rows, sizes, keys, F.col("_n"), rows.count() or 1, "left")
     return out.withColumn("lot", F.coalesce(F.pmod(number, F.ceil(F.col("_n") / LOT)), F.lit(0)).cast("int")).drop("_n")
 
 
 def inverted_index(docs: DataFrame, wanted: tuple[str, ...] | None = None) -> DataFrame:
     """(token, lot, documents, n): per token the distinct documents, sorted, joined by blanks; an export form, not for search."""
-    flat = read_zones(docs) if wanted is None else read_zones(docs).where(F.col("zone").isin(*wanted))
+    flat = read_zones(docs, wanted)
     rows = flat.select(F.explode(F.array_distinct(tokens("contenu"))).alias("token"), "fichier").distinct()
     return lots(rows, ["token"], "fichier").groupBy("token", "lot").agg(F.array_join(F.sort_array(F.collect_list("fichier")), " ").alias("documents"), F.count("*").alias("n"))
 
 
 def rekey(index: DataFrame, roots: DataFrame, token: str = "token") -> DataFrame:
-    """The postings with each token replaced by its root from a table (mot, racine); tokens it lacks stay. Repeated postings fall together."""
-    known = roots.select(F.col("mot").alias(token), "racine")
-    out = index.join(known, token, "left").withColumn(token, F.coalesce("racine", token)).drop("racine")
-    return out.distinct()
+    """The postings with each token replaced by its root from a table (mot, racine) of distinct words; tokens it lacks stay. Repeated postings fall together.
+
+    Hot tokens are joined by their margins."""
+    index = materialize(index, "postings")
+    counts = index.groupBy(token).agg(F.count("*").alias("_n"))
+    known = materialize(roots.select(F.col("mot").alias(token), "racine").join(counts, token), "racines")
+    out = join_margin(index, known, token, F.col("_n"), index.count() or 1, "left").drop("_n")
+    return out.withColumn(token, F.coalesce("racine", token)).drop("racine").distinct()
 
 
 def field_frequencies(docs: DataFrame) -> DataFrame:

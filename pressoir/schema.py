@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,28 +23,59 @@ def check_keys(docs: DataFrame) -> DataFrame:
     return groups.select(kind.alias("probleme"), "fichier", "lignes").where("probleme is not null")
 
 
-def latest(rows: DataFrame, key: str = "fichier", by: str = "recu_le") -> DataFrame:
-    """The last delivered row of each key, null orders first; rows equal in the order are told apart by their other columns.
+#: Columns that tell rows of one key and time apart, before any others.
+TIES = ("numero", "date_pub", "rubrique", "titre")
 
-    A maximum of whole rows: it is taken on the map side first, so a key that is delivered very often costs no more than others.
+
+def latest(rows: DataFrame, key: str = "fichier", by: str = "recu_le", columns: list[str] | None = None) -> DataFrame:
+    """The last delivered row of each key, null orders first, with the wanted columns; rows equal in the order are told apart by TIES, then by the other wanted columns.
+
+    Which keys were delivered more than once is found on (key, order) alone. Rows of all other keys are passed through by an anti-join, so whole texts meet
+    no aggregate; of the contested keys only the rows of the last order are compared, by a maximum taken on the map side first.
     """
-    rest = [c for c in rows.columns if c not in (key, by)]
-    return rows.groupBy(key).agg(F.max(F.struct(by, *rest)).alias("_r")).select(key, "_r.*")
+    wanted = [c for c in (columns or rows.columns) if c not in (key, by)]
+    ties = [c for c in TIES if c in rows.columns and c not in (key, by)]
+    order = [*ties, *[c for c in wanted if c not in ties]]
+    counts = rows.groupBy(key).agg(F.count("*").alias("_n"), F.max(by).alias("_dernier")).where("_n > 1")
+    contested = counts.select(F.col(key).alias("_cle"), "_dernier")
+    same = F.col(key).eqNullSafe(F.col("_cle"))
+    slim = rows.select(key, by, *wanted)
+    sole = slim.join(contested.select("_cle"), same, "left_anti")
+    again = rows.select(key, by, *order).join(contested, same & F.col(by).eqNullSafe(F.col("_dernier"))).groupBy(key).agg(F.max(F.struct(by, *order)).alias("_r"))
+    return sole.unionByName(again.select(key, "_r.*").select(key, by, *wanted))
 
 
-def archive(spark: SparkSession, folder: str) -> DataFrame:
-    """The articles of a folder of tables as an archive: one row per ``fichier``, the last delivered."""
+def archive(spark: SparkSession, folder: str, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
+    """The articles of a folder of tables as an archive: one row per ``fichier``, the last delivered, with the wanted columns only."""
     rows = spark.read.parquet(f"{folder}/articles.parquet").where("fichier is not null")
-    return latest(rows).select("fichier", "numero", F.col("date_pub").alias("date"), "rubrique", "titre", "auteur", "contact", "texte", "images")
+    names = {"date": "date_pub"}
+    stored = [names.get(c, c) for c in columns if c != "fichier"]
+    return latest(rows, columns=["fichier", *stored]).select("fichier", *[F.col(names.get(c, c)).alias(c) for c in columns if c != "fichier"])
+
+
+def zone_column(zone: str, captions: str = "") -> Column:
+    """The text of one zone; null texts are empty, captions are joined by ``captions`` (nothing by default)."""
+    if zone == "legendes":
+        return F.array_join(F.transform(F.coalesce("images", F.array().cast(T.ArrayType(IMAGE))), lambda x: F.coalesce(x["legende"], F.lit(""))), captions)
+    return F.coalesce(zone, F.lit(""))
+
+
+def zones(docs: DataFrame, captions: str = "", keep: tuple[str, ...] = ()) -> DataFrame:
+    """The documents with their three text zones, and the columns to keep."""
+    return docs.select("fichier", *keep, *[zone_column(z, captions).alias(z) for z in ZONES])
+
+
+#: Columns that a zone is read from.
+SOURCES = {"titre": "titre", "texte": "texte", "legendes": "images"}
 
 
-def zones(docs: DataFrame, captions: str = "") -> DataFrame:
-    """The documents with their three text zones; null texts are empty, captions are joined by ``captions`` (nothing by default)."""
-    legends = F.array_join(F.transform(F.coalesce("images", F.array().cast(T.ArrayType(IMAGE))), lambda x: F.coalesce(x["legende"], F.lit(""))), captions)
-    return docs.select("fichier", F.coalesce("titre", F.lit("")).alias("titre"), F.coalesce("texte", F.lit("")).alias("texte"), legends.alias("legendes"))
+def zoned_archive(spark: SparkSession, folder: str, wanted: tuple[str, ...] = ZONES) -> DataFrame:
+    """The archive with what the wanted zones are read from."""
+    return archive(spark, folder, ("fichier", *[SOURCES[z] for z in ZONES if z in wanted]))
 
 
-def read_zones(docs: DataFrame) -> DataFrame:
-    """(fichier, zone, contenu), one row per document and zone."""
-    z = zones(docs)
-    return z.select("fichier", F.explode(F.create_map(*[x for n in ZONES for x in (F.lit(n), F.col(n))])).alias("zone", "contenu"))
+def read_zones(docs: DataFrame, wanted: tuple[str, ...] | None = None) -> DataFrame:
+    """(fichier, zone, contenu), one row per document and wanted zone; all zones by default. Other zones' columns are not read."""
+    names = [z for z in ZONES if wanted is None or z in wanted]
+    pairs = F.array(*[F.struct(F.lit(z).alias("zone"), zone_column(z).alias("contenu")) for z in names]) if names else F.array().cast("array<struct<zone:string,contenu:string>>")
+    return docs.select("fichier", F.explode(pairs).alias("z")).select("fichier", "z.zone", "z.contenu")

@@ -78,18 +78,19 @@ def hash_sample(df: DataFrame, text: str, most: int) -> DataFrame:
 HEAVY_SHARE = 500
 
 
-def join_margin(left: DataFrame, right: DataFrame, key: str, weight: Column, total: float) -> DataFrame:
-    """Inner join of many rows with one row per key, whatever the skew of the key.
+def join_margin(left: DataFrame, right: DataFrame, key: str | list[str], weight: Column, total: float, how: str = "inner") -> DataFrame:
+    """Inner or left join of many rows with one row per key, whatever the skew of the key.
 
     ``weight`` (a column of ``right``) is the number of rows of ``left`` under the key, ``total``
     their sum. Keys of more than total/HEAVY_SHARE rows number fewer than HEAVY_SHARE, so that
     part of ``right`` is broadcast under a proven bound; all other keys are shuffled, and
     none of them fills a partition.
     """
+    keys = [key] if isinstance(key, str) else key
     is_heavy = F.coalesce(weight > F.lit(total / HEAVY_SHARE), F.lit(False))
     heavy = right.where(is_heavy)
     if heavy.limit(1).count() == 0:
-        return left.join(right, key)
-    hot = left.join(F.broadcast(heavy), key)
-    cold = left.join(F.broadcast(heavy.select(key)), key, "left_anti").join(right.where(~is_heavy), key)
+        return left.join(right, keys, how)
+    hot = left.join(F.broadcast(heavy), keys)
+    cold = left.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(right.where(~is_heavy), keys, how)
     return hot.unionByName(cold)

@@ -118,19 +118,19 @@ def bulletin(html: str, path: str, all_images: bool = False) -> dict:
         out["date"] = pd.to_datetime("-".join(m.groups()), errors="coerce").to_pydatetime()
         if pd.isna(out["date"]):
             out["date"] = None
-    head = next((p for p in root.find_all("p", "style96") if p.find("span", "style42") and p.find("span", "style17")), None)
-    if head:
-        out["rubrique"], out["titre"] = head.find("span", "style42").text(), head.find("span", "style17").text()
+    heads = [p for p in root.find_all("p", "style96") if p.find("span", "style42") and p.find("span", "style17")]
+    if heads:
+        out["rubrique"], out["titre"] = heads[0].find("span", "style42").text(), heads[0].find("span", "style17").text()
     body = root.find("td", "FWExtra2")
     if body:
-        parts = [p.text(" ") for p in body.find_all("p") if p is not head and "style93" not in p.attrs.get("class", "").split()]
+        parts = [p.text(" ") for p in body.find_all("p") if p not in heads and "style93" not in p.attrs.get("class", "").split()]
         out["texte"] = "\n".join(p for p in parts if p)
     images = []
     for div in root.find_all("div"):
         if "text-align: center" in div.attrs.get("style", ""):
             img, caption = div.find("img"), div.find("span", "style21")
             if img is not None:
-                images.append({"url": img.attrs.get("src"), "legende": caption.text() if caption else None})
+                images.append({"url": (img.attrs.get("src") or "").strip() or None, "legende": caption.text() if caption else None})
             if not all_images:
                 break
     out["images"] = images
@@ -140,7 +140,7 @@ def bulletin(html: str, path: str, all_images: bool = False) -> dict:
         cells = [c for c in row.children if isinstance(c, Element) and c.name == "td"] if row else []
         cell = cells[1].find("p", "style44") if len(cells) > 1 else None
         if cell:
-            out[field] = cell.text()
+            out[field] = cell.text(" ")
     return out
 
 
