@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import tokens
+
 V = "aeiouyâàëéêèïîôûù"
 
 # The suffixes of the published algorithm, by the rule that treats them.
@@ -202,3 +204,9 @@ def lemma_vocabulary(vocabulary: DataFrame, dictionary: DataFrame) -> DataFrame:
     words = vocabulary.select("mot").where(F.col("mot").rlike(r"^\p{L}+$")).distinct()
     known = dictionary.groupBy(F.lower("mot").alias("mot")).agg(F.min("lemme").alias("lemme"))
     return words.join(known, "mot", "left").select("mot", F.coalesce("lemme", "mot").alias("racine"))
+
+
+def lemma_text(c: Column, lemmas: Column) -> Column:
+    """The alphabetic tokens of a text in order, each by its lemma from a map column, else as it is; null texts give an empty list."""
+    words = F.filter(tokens(F.coalesce(c, F.lit(""))), lambda t: t.rlike(r"^\p{L}+$"))
+    return F.transform(words, lambda t: F.coalesce(F.try_element_at(lemmas, t), t))

@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import any_term, word_count
 
+
 def ordering(name: str) -> list[Column]:
     """'recent', 'ancien', 'pertinence' or 'naturel'; documents without a date last, but first in the natural order; ties by fichier."""
     tie = F.col("fichier").asc()
@@ -19,6 +20,12 @@ def ordering(name: str) -> list[Column]:
     }[name]
 
 
+def first_page(found: DataFrame, name: str, size: int = 50) -> DataFrame:
+    """The first ``size`` rows in an order of ``ordering``, with their place from 1 on; only so many rows of each task are sorted together."""
+    order = ordering(name)
+    return found.orderBy(*order).limit(size).withColumn("rang", F.row_number().over(Window.orderBy(*order)))
+
+
 def naive_scores(docs: DataFrame, terms: list[str]) -> DataFrame:
     """(fichier, score): ten for each occurrence of a term as a whole word in the title, one in the text; only scores above 0."""
     score = word_count(F.coalesce("titre", F.lit("")), terms) * 10 + word_count(F.coalesce("texte", F.lit("")), terms)

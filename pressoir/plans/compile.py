@@ -40,19 +40,25 @@ def predicates(query: StructuredQuery, folded: bool = False) -> list[Column]:
     return out
 
 
-def select(docs: DataFrame, index: DataFrame, query: StructuredQuery, strict: bool = False, folded: bool = False) -> DataFrame:
+def resolve(index: DataFrame, names: tuple[str, ...]) -> str:
+    """The first of the names that is a zone of the index, else the last; a name without rows gives no documents."""
+    return next((n for n in names[:-1] if index.where(F.col("zone") == n).limit(1).count()), names[-1])
+
+
+def select(docs: DataFrame, index: DataFrame, query: StructuredQuery, strict: bool = False, folded: bool = False, content: tuple[str, ...] = ("texte",), title: tuple[str, ...] = ("titre",)) -> DataFrame:
     """The documents that meet all criteria.
 
-    ``index`` has (zone, token, fichier). Text and title terms are semi-joins, negated expressions anti-joins; all else filters the documents below them.
+    ``index`` has (zone, token, fichier); ``content`` and ``title`` name the zones for either field, with others to fall back on. Text and title terms are semi-joins, negated expressions anti-joins; all else filters the documents below them.
     """
     for p in predicates(query, folded):
         docs = docs.where(p)
+    body = resolve(index, content) if query.content_terms or query.negated_content_terms else ""
     if query.content_terms:
-        docs = docs.join(matching(index, list(query.content_terms), query.content_operator or "AND", "texte", strict), "fichier", "left_semi")
+        docs = docs.join(matching(index, list(query.content_terms), query.content_operator or "AND", body, strict), "fichier", "left_semi")
     if query.title_terms:
-        docs = docs.join(matching(index, list(query.title_terms), query.title_operator or "AND", "titre", strict), "fichier", "left_semi")
+        docs = docs.join(matching(index, list(query.title_terms), query.title_operator or "AND", resolve(index, title), strict), "fichier", "left_semi")
     for expression in query.negated_content_terms:
-        docs = docs.join(matching(index, expression.lower().split(), "AND", "texte"), "fichier", "left_anti")
+        docs = docs.join(matching(index, expression.lower().split(), "AND", body), "fichier", "left_anti")
     return docs
 
 

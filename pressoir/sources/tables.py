@@ -8,14 +8,18 @@ from pyspark.sql import functions as F
 from ..operators.postings import frequency_lines
 
 
+#: Outer blanks are part of a word.
+BLANKS = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
 def write_tsv(df: DataFrame, path: str, header: bool = True) -> None:
     """Null is an empty field, the empty string a quoted pair; a backslash is a backslash."""
-    df.write.mode("overwrite").option("sep", "\t").option("header", header).option("emptyValue", '""').option("nullValue", "").csv(path)
+    df.write.mode("overwrite").option("sep", "\t").option("header", header).option("emptyValue", '""').option("nullValue", "").options(**BLANKS).csv(path)
 
 
 def read_tsv(spark: SparkSession, path: str, schema: str, header: bool = True) -> DataFrame:
     """Text stays text: words spelled like markers of missing values are words."""
-    return spark.read.schema(schema).option("sep", "\t").option("header", header).option("emptyValue", "").option("nullValue", "\u0000").csv(path)
+    return spark.read.schema(schema).option("sep", "\t").option("header", header).option("emptyValue", "").option("nullValue", "\u0000").options(**BLANKS).csv(path)
 
 
 def write_stop_list(stops: DataFrame, path: str) -> None:
@@ -53,13 +57,30 @@ def read_wide_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_postings(postings: DataFrame, path: str) -> None:
-    """The index for search: Parquet, a folder per zone, sorted by token within files."""
-    postings.repartition("zone", F.pmod(F.xxhash64("token"), F.lit(64))).sortWithinPartitions("zone", "token").write.mode("overwrite").partitionBy("zone").parquet(path)
+    """The index for search: Parquet, a folder per zone, in ranges of (token, fichier), so that a token's rows lie in few row groups and a hot token fills no file."""
+    postings.repartitionByRange("zone", "token", "fichier").sortWithinPartitions("zone", "token", "fichier").write.mode("overwrite").partitionBy("zone").parquet(path)
+
+
+def read_postings(spark: SparkSession, path: str) -> DataFrame:
+    """(zone, token, fichier) of a written index; filters on zone choose folders, filters on token row groups."""
+    return spark.read.schema("token string, fichier string, zone string").parquet(path).select("zone", "token", "fichier")
+
+
+def read_frequency_index(spark: SparkSession, path: str) -> DataFrame:
+    """(champ, terme, document_id, tf) of a written frequency index."""
+    lines = spark.read.schema("terme string, lot int, documents string, champ string").option("sep", "\t").options(**BLANKS).csv(path)
+    pairs = lines.select("champ", F.coalesce("terme", F.lit("")).alias("terme"), F.explode(F.split("documents", " ")).alias("p"))
+    return pairs.select("champ", "terme", F.regexp_extract("p", "^(.*):", 1).alias("document_id"), F.regexp_extract("p", ":([0-9]+)$", 1).cast("long").alias("tf"))
+
+
+def read_comparison(spark: SparkSession, path: str) -> DataFrame:
+    """(mot, lemme, racine) of a written comparison."""
+    return spark.read.schema("mot string, lemme string, racine string").option("header", True).csv(path)
 
 
 def write_frequency_index(frequencies: DataFrame, path: str) -> None:
     """'term<TAB>doc:freq doc:freq' lines, terms and documents sorted, a folder per field."""
-    frequency_lines(frequencies).orderBy("champ", "terme").write.mode("overwrite").partitionBy("champ").option("sep", "\t").csv(path)
+    frequency_lines(frequencies).orderBy("champ", "terme").write.mode("overwrite").partitionBy("champ").option("sep", "\t").options(**BLANKS).csv(path)
 
 
 def write_comparison(stems: DataFrame, lemmas: DataFrame, path: str) -> None:
