@@ -109,6 +109,11 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return stuffing.stuffed_pages(table(spark, d, "documents")).where("spam").select("doc_id").distinct()
 
 
+def p10_mots(spark: SparkSession, d: str) -> DataFrame:
+    """Words and links of every text, as the measures count them."""
+    return p10_mesures(spark, d).select("doc_id", "mots", "liens")
+
+
 def p10_mesures(spark: SparkSession, d: str) -> DataFrame:
     return stuffing.stuffed_pages(table(spark, d, "documents"))
 
@@ -123,7 +128,23 @@ r AS (SELECT document_id, CAST(sum(tf) AS BIGINT) AS r FROM c GROUP BY ALL),
 g AS (SELECT count(*) AS docs, CAST(sum(r) AS DOUBLE) AS n FROM r)
 """
 
+
+def _p3_sql() -> str:
+    """The characters and words of problem 3 by code points: look-alike letters beside Latin ones, but for one Greek letter before one or two Latin ones."""
+    look = lookalikes
+    hidden, foreign = f"[{look.IGNORABLES}{look.MARKS}{look.FORMS}\U0001d400-\U0001d7ff]", f"[{look.FOREIGN}]"
+    inner = f"[\\p{{M}}{look.IGNORABLES}]*"
+    symbol = "(^|[^\\p{L}\\p{M}])[α-ω]\\p{Latin}{1,2}($|[^\\p{L}\\p{M}])"
+    parts = [hidden, f"[{look.SPACES}{look.HYPHENS}]", f"\\p{{Latin}}{inner}{foreign}", f"{foreign}{inner}\\p{{Latin}}", f"(^|[^\\p{{L}}\\p{{N}}]){foreign}[''’]\\p{{Latin}}"]
+    test = f"regexp_matches(regexp_replace(t, '{symbol}', '\\1\\2', 'g'), '{'|'.join(parts)}')"
+    rows = "SELECT 'texte' AS champ, fichier AS cle, texte AS t FROM articles UNION ALL SELECT 'content_terms', CAST(query_id AS VARCHAR), unnest(content_terms) FROM requetes"
+    return f"SELECT DISTINCT champ, cle FROM ({rows}) WHERE {test}"
+
+
 SQL: dict[str, str] = {
+    "p3_found": _p3_sql(),
+    "p10_mots": """WITH x AS (SELECT doc_id, len(regexp_extract_all(text, 'https?://\\S+|www\\.\\S+|\\]\\([^)\\s]*\\)')) AS liens, len(regexp_extract_all(text, 'https?://\\S+|www\\.\\S+|\\]\\([^)\\s]*\\)|[\\p{L}\\p{N}]+')) AS termes FROM documents)
+        SELECT doc_id, coalesce(termes - liens, 0) AS mots, coalesce(liens, 0) AS liens FROM x""",
     "p2_residuals": f"""WITH {_COUNTS},
         x AS (SELECT document_id, mot, tf, df, round(tf * log10(docs / df), 6) + 0.0 AS tf_idf, r * c / n AS e, (1 - r / n) * (1 - c / n) AS v FROM c JOIN t USING (mot) JOIN r USING (document_id), g)
         SELECT document_id, mot, tf, df, tf_idf, round(e, 6) AS attendu, CASE WHEN e > 0 THEN round((tf - e) / sqrt(e), 6) END AS residual,
