@@ -7,7 +7,8 @@ from functools import lru_cache
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark import SparkFiles
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: Folder of the tokenizers' vocabulary files, and the vocabulary used by default.
@@ -21,12 +22,21 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$
 def encoding(folder: str, vocabulary: str):
     import tiktoken
 
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(folder, vocabulary).open("rb"))}
+    path = Path(folder, vocabulary)
+    if not path.exists():
+        path = Path(SparkFiles.get(vocabulary))  # as the driver sent it
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, path.open("rb"))}
     return tiktoken.Encoding(vocabulary, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def token_count(col: Column, folder: str = FOLDER, vocabulary: str = VOCABULARY) -> Column:
-    """Number of tokens of the whole text; 0 for null and empty texts. Strings of special tokens are ordinary text."""
+    """Number of tokens of the whole text; 0 for null and empty texts. Strings of special tokens are ordinary text.
+
+    The driver sends the vocabulary file to the workers, for those that do not have the folder.
+    """
+    spark, path = SparkSession.getActiveSession(), Path(folder, vocabulary)
+    if spark is not None and path.exists():
+        spark.sparkContext.addFile(str(path))
 
     @F.pandas_udf("long")
     def count(texts: pd.Series) -> pd.Series:
