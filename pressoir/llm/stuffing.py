@@ -38,6 +38,10 @@ SHORT, DENSE, RECURRENT, EVEN, LEAST_TIMES, EVEN_TIMES = 6, 0.6, ((9, 1.5), (12,
 PERIODIC, REGULAR, THICK, LIST, SENTENCE, LINKS = 0.8, 0.25, 0.2, 0.13, 0.28, 0.25
 
 
+#: Occurrences whose pairs are counted together; a bound of memory only.
+BLOCK = 4_096
+
+
 def agreement(terms: np.ndarray) -> np.ndarray:
     """For each lag from 0 to half the length, how many positions hold the same term as the position so many on; negative terms are none.
 
@@ -57,11 +61,15 @@ def agreement(terms: np.ndarray) -> np.ndarray:
         mark = np.zeros(1 << (n + half).bit_length())
         mark[order[a : a + k]] = 1
         out += np.rint(np.fft.irfft(np.abs(np.fft.rfft(mark)) ** 2, len(mark))[: half + 1]).astype("int64")
-    few = np.repeat(~many & (times > 1), times)
-    place, held = order[few], held[few]
-    for step in range(1, int(times[~many].max(initial=1))):  # the occurrences so many further on
-        same = held[step:] == held[:-step]
-        lags = (place[step:] - place[:-step])[same]
+    few = ~many & (times > 1)
+    place, counts = order[np.repeat(few, times)], times[few]
+    firsts = np.repeat(np.cumsum(counts) - counts, counts)
+    rank = np.arange(len(place)) - firsts  # how many occurrences of the term stand before
+    for a in range(0, len(place), BLOCK):  # pairs of so many occurrences at a time
+        r = rank[a : a + BLOCK]
+        ends = np.cumsum(r)
+        within = np.arange(int(ends[-1])) - np.repeat(ends - r, r)
+        lags = np.repeat(place[a : a + BLOCK], r) - place[np.repeat(firsts[a : a + BLOCK], r) + within]
         out += np.bincount(lags[lags <= half], minlength=half + 1)
     return out
 
@@ -116,6 +124,25 @@ def regular(terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     return dense, again, peak
 
 
+#: Numbers of terms, the same for all spellings of one in upper and lower case: 0 for links, -1 for function words, -2 for figures. Kept between texts; a worker forgets them beyond so many.
+MOST_KEPT = 300_000
+_codes: dict[str, int] = {}
+
+
+def _code(t: str) -> int:
+    w = t.lower()
+    got = 0 if t.startswith(LINKED) else -1 if w in FUNCTION_WORDS else -2 if w.isdigit() else len(_codes) + 1 if w == t else _codes.get(w) or _code(w)
+    _codes[t] = got
+    return got
+
+
+def _numbered(parts: list[list[str]]) -> np.ndarray:
+    if len(_codes) > MOST_KEPT:
+        _codes.clear()
+    get = _codes.get
+    return np.array([c if (c := get(t)) is not None else _code(t) for ts in parts for t in ts], dtype="int64")
+
+
 MEASURES = ("mots", "liens", "outils", "autocorrelation", "regularite", "listes", "bourrage")
 
 
@@ -131,18 +158,7 @@ def stuffing(text: str | None) -> dict[str, float]:
     if not text or not text.strip():
         return none
     segments = [(s, TERM.findall(s)) for s in CUT.split(text) if s and not s.isspace()]
-    codes: dict[str, int] = {}
-    number: dict[str, int] = {"": 0}
-
-    def code(t: str) -> int:
-        w = t.lower()
-        got = 0 if t.startswith(LINKED) else -1 if w in FUNCTION_WORDS else -2 if w.isdigit() else number.setdefault(w, len(number))
-        codes[t] = got
-        return got
-
-    get = codes.get
-    ids = [c if (c := get(t)) is not None else code(t) for _, ts in segments for t in ts]
-    terms = np.array(ids, dtype="int64")
+    terms = _numbered([ts for _, ts in segments])
     dense, again, peak = regular(terms)
     sizes = np.array([len(ts) for _, ts in segments])
     ends = np.cumsum(sizes)
