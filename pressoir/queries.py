@@ -17,7 +17,7 @@ from .plans import boolean, compile
 from .plans.ir import StructuredQuery
 from .plans.parser import QueryBuilder, QueryParser
 from .schema import archive, check_keys, read_zones, zoned_archive, zones
-from .session import shared_dir
+from .session import shared_dir, until_exit
 from .sources import html, tables, xml
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,7 +64,7 @@ def search_index(spark: SparkSession, d: str) -> DataFrame:
             del _indexes[key]
     path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
     tables.write_postings(postings.postings(zoned_archive(spark, d)), path)
-    _indexes[key] = path
+    _indexes[key] = until_exit(spark, path)
     return tables.read_postings(spark, path)
 
 
@@ -445,6 +445,7 @@ def substitute(spark, d):
 @query("""s AS (SELECT list(mot) AS l FROM idfs WHERE round(idf, 6) <= 0.1)
  SELECT fichier, array_to_string(list_transform(regexp_extract_all(texte, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_]+'), lambda x: CASE WHEN list_contains(l, lower(x)) THEN '' ELSE x END), '') AS texte FROM docs, s""")
 def stoplist_apply(spark, d):
+    # broadcast under a bound: a stop-word stands in 79 % of all documents (idf 0.1), so there are no more of them than a document's mean of distinct words, divided by 0.79
     docs = archive(spark, d)
     stops = metrics.stop_list(metrics.term_frequencies(docs)).agg(F.map_from_arrays(F.collect_list("mot"), F.collect_list("remplacement")).alias("table"))
     return docs.crossJoin(F.broadcast(stops)).select("fichier", T.substitute("texte", F.col("table")).alias("texte"))
@@ -733,15 +734,30 @@ def comparison_file(spark, d):
 def _layout(docs: DataFrame) -> DataFrame:
     """Pages in the archive's layout, made of its articles: (fichier, html); names in several fragments, texts in paragraphs."""
     safe = lambda c: F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
-    text = F.concat(*[x for c in ("numero", "rubrique", "titre", "texte") for x in (safe(F.col(c)),)][3:])
     parts = [
         "<html><head><title>", F.coalesce(F.date_format("date", "yyyy/MM/dd"), F.lit("")), " bulletin</title></head><body><span class='style32'>BE ", F.regexp_extract(F.coalesce("numero", F.lit("")), "[0-9]+", 0),
-        "</span><table><tr><td class='FWExtra2'><p class='style96'><span class='style42'>", safe(F.col("rubrique")), "</span><br><span class='style17'>", safe(F.col("titre")), "</span></p><p>", text, "</p><p class='style93'>x</p></td></tr></table>",
+        "</span><table><tr><td class='FWExtra2'><p class='style96'><span class='style42'>", safe(F.col("rubrique")), "</span><br><span class='style17'>", safe(F.col("titre")), "</span></p><p>", safe(F.col("texte")), "</p><p class='style93'>x</p></td></tr></table>",
         "<table><tr><td><span class='style28'>Rédacteur</span></td><td><p class='style44'>", safe(F.col("auteur")), " <b>CNRS</b><br>Paris</p></td></tr></table></body></html>",
     ]
     return docs.select("fichier", F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts]).alias("html"))
 
 
+_FILED = [("11", "2011-04-05", "Focus", "Un capteur", "Il mesure."), ("12", "2012-10-31", "A lire", "Une pompe & un filtre", "Elle pompe. Il filtre."), ("13", None, "", "", "")]
+_FILED_SQL = ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" for x in r) + ")" for r in _FILED)
+
+
+@query(f"SELECT * FROM (VALUES {_FILED_SQL}) v(numero, jour, rubrique, titre, texte)")
+def folder_scan(spark, d):
+    """A folder of three page files, written one a task and read as the archive's own files are."""
+    rows = spark.range(0, len(_FILED), 1, len(_FILED)).join(F.broadcast(spark.createDataFrame([(i, *r) for i, r in enumerate(_FILED)], "id long, numero string, jour string, rubrique string, titre string, texte string")), "id")
+    pages = _layout(rows.select(F.col("numero").alias("fichier"), "numero", F.col("jour").cast("timestamp").alias("date"), "rubrique", "titre", F.lit(None).cast("string").alias("auteur"), "texte"))
+    path = f"{shared_dir(spark)}/pages-{uuid.uuid4().hex}"
+    pages.select("html").write.text(path)
+    back = html.read_folder(spark, until_exit(spark, path), glob="part-*")
+    blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return back.select("numero", F.date_format("date", "yyyy-MM-dd").alias("jour"), blank("rubrique"), blank("titre"), blank("texte"))
+
+
 _FLAT = "trim(regexp_replace(coalesce({0}, ''), '\\s+', ' ', 'g'))"
 
 

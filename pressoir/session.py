@@ -32,16 +32,25 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def until_exit(spark: SparkSession, path: str) -> str:
+    """Have a written path removed when the driver's JVM ends; the path itself."""
+    jvm = spark._jvm
+    if jvm is not None:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     Cuts the lineage, survives the loss of executors, is column-pruned by later readers
-    and gives the planner true sizes, so that joins with it broadcast only what is small.
+    and gives the planner true sizes, so that joins with it broadcast only what is small. Removed when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(until_exit(spark, path))
 
 
 def spread(df: DataFrame, times: int = 3) -> DataFrame:
