@@ -182,6 +182,6 @@ def term_frequencies(counts: DataFrame, stop_list: DataFrame | None = None, rare
         stops = stop_list.select(clean_term(F.col("mot")).alias("mot")).where(F.col("mot") != "").distinct()
         freq = freq.unionByName(stops.select("mot", F.lit(0).cast("long").alias("occurrences"), F.lit(0).cast("long").alias("articles")))
         freq = freq.groupBy("mot").agg(F.sum("occurrences").alias("occurrences"), F.sum("articles").alias("articles"))
-    docs = counts.where(F.col("document_id").isNotNull() & F.col("mot").rlike(BLANKS.replace("[", "[^").rstrip("+"))).agg(F.countDistinct("document_id")).first()[0]
+    docs = counts.where(F.col("document_id").isNotNull() & (F.btrim(F.col("mot"), F.lit(BLANKS)) != "")).agg(F.countDistinct("document_id")).first()[0]
     marks = F.array_compact(F.array(F.when(F.col("articles") < rare, F.lit("rare")), F.when(F.col("articles") > common * docs, F.lit("commun"))))
     return freq.select("mot", "occurrences", "articles", F.explode_outer(marks).alias("marque"))
