@@ -66,7 +66,7 @@ def osa(a: str, b: str, most: int) -> int:
         if least > most:
             return most + 1
         before, last = last, row
-    return last[-1]
+    return min(last[-1], most + 1)
 
 
 def allowed(length: int) -> int:
