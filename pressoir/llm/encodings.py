@@ -228,16 +228,13 @@ def _posterior(prior: Column) -> Column:
 def _prior_of(rows: DataFrame, keys: list[str], base: Column, tokens: float) -> DataFrame:
     """Prior per chain for each key: posterior sums over ``tous``, all its non-ASCII tokens, smoothed by ``base``.
 
-    ``base`` (an array column) and ``tous`` are constant within a key. Tokens without letters have no voice.
+    ``base`` is a constant array, ``tous`` constant within a key. Tokens without letters have no voice.
     """
     voice = F.col("n") * F.col("jeton").rlike(_TWO_LETTERS).cast("long")
-
-    def share(i: int) -> Column:
-        return F.aggregate("post", F.lit(0.0), lambda a, x: a + F.when(x["chaine"] == i, x["p"]).otherwise(0.0))
-
-    sums = [F.sum(voice * share(i)) for i in range(len(CHAINS))]
-    out = rows.groupBy(*keys).agg(F.array(*sums).alias("s"), F.first(base).alias("b"), F.first("tous").alias("tous"))
-    return out.select(*keys, F.zip_with("s", "b", lambda s, b: (s + b * tokens) / (F.col("tous") + tokens)).alias("prior"))
+    each = rows.select(*keys, "tous", voice.alias("v"), F.explode("post").alias("x")).groupBy(*keys, F.col("x.chaine").alias("chaine")).agg(F.sum(F.col("v") * F.col("x.p")).alias("s"), F.max("tous").alias("tous"))
+    out = each.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("chaine", "s"))).alias("par_chaine"), F.max("tous").alias("tous"))
+    shares = F.array(*[F.coalesce(F.try_element_at("par_chaine", F.lit(i)), F.lit(0.0)) for i in range(len(CHAINS))])
+    return out.select(*keys, F.zip_with(shares, base, lambda s, b: (s + b * tokens) / (F.col("tous") + tokens)).alias("prior"))
 
 
 #: E- and M-steps within a record.
@@ -302,13 +299,14 @@ def damaged_tokens(rows: DataFrame, fields: list[str], key: str, source: str) ->
     seen = able.agg(F.coalesce(F.sum("partout"), F.lit(1))).first()[0]
     mine = materialize(join_margin(counted.where(F.col("jeton").rlike(SUSPECT)), able, "jeton", F.col("partout"), seen).drop("partout"), "suspects")
     name = F.to_json(F.struct("site", "champ")).alias("source")
-    by_source = materialize(mine.groupBy("site", "champ", "jeton").agg(F.sum("n").alias("n"), F.first("lectures").alias("lectures")).select(name, "jeton", "n", "lectures"), "sources")
+    pooled = counted.where(F.col("jeton").rlike(SUSPECT)).groupBy("site", "champ", "jeton").agg(F.sum("n").alias("n"))
+    by_source = materialize(join_margin(pooled, able, "jeton", F.col("partout"), seen).select(name, "jeton", "n", "lectures"), "sources")
     size = by_source.count()
     totals = materialize(counted.groupBy("site", "champ").agg(F.sum("n").alias("tous")).select(name, "tous"), "totaux")
     everything = totals.agg(F.coalesce(F.sum("tous"), F.lit(0))).first()[0]
     # the collection's prior, then each source's
     prior = [FIRST_SHARE / len(CHAINS)] * len(CHAINS)
-    overall = by_source.groupBy("jeton").agg(F.sum("n").alias("n"), F.first("lectures").alias("lectures"))
+    overall = able.withColumnRenamed("partout", "n")
     for _ in range(ROUNDS):
         got = _prior_of(overall.withColumn("post", _posterior(F.array(*map(F.lit, prior)))).withColumn("k", F.lit(1)).withColumn("tous", F.lit(everything)), ["k"], flat, PRIOR_TOKENS).first()
         prior = list(got["prior"]) if got else prior
@@ -320,7 +318,10 @@ def damaged_tokens(rows: DataFrame, fields: list[str], key: str, source: str) ->
         sources = materialize(again.join(sources.select("source", "lignes", "tous"), "source").select("source", "lignes", "tous", "prior"), "priors")
     records = counted.groupBy("cle", "champ").agg(F.sum("n").alias("tous"))
     joined = join_margin(mine.select("cle", "champ", name, "jeton", "n", "lectures"), sources.drop("tous"), "source", F.col("lignes"), size or 1)
-    each = joined.groupBy("cle", "champ").agg(F.collect_list(F.struct("jeton", "n", "lectures")).alias("jetons"), F.first("prior").alias("prior"))
+    likeliest_gain = F.aggregate("lectures", F.lit(-1e9), lambda a, x: F.greatest(a, x["gain"]))
+    each = joined.groupBy("cle", "champ").agg(F.collect_list(F.struct("jeton", "n", "lectures")).alias("jetons"), F.first("prior").alias("prior"), F.max(likeliest_gain).alias("gain"))
+    # where no reading is likelier than what is written, the posteriors of a token add up to no more than its source's priors at any step
+    each = each.where((F.col("gain") > 0) | (F.aggregate("prior", F.lit(0.0), lambda a, x: a + x) >= LEAST_POSTERIOR))
     each = each.join(records, ["cle", "champ"])
 
     @F.pandas_udf("array<struct<jeton:string,lecture:string,chaine:string,p:double>>")
