@@ -8,7 +8,6 @@ import pytest
 
 from pressoir import queries
 from pressoir.functions.stem import stem
-from pressoir.llm import queries as llm
 from pressoir.schema import DOCUMENT
 
 ROWS = [
@@ -96,12 +95,3 @@ def test_statistics_of_stems(spark, folder):
     assert {(r.mots, r.racines, r.part) for r in queries.stem_root_histogram(spark, folder).collect()} == {(k, v, round(v / len(shared_by), 6)) for k, v in counts.items()}
     stats = queries.stem_normalizer_stats(spark, folder).first()
     assert tuple(stats) == (len(root), len(shared_by), sum(w == r for w, r in root.items()), round(1 - len(shared_by) / len(root), 6))
-
-
-def test_ngrams_of_every_length(spark, folder):
-    held = Counter()
-    for t in ASKED:
-        ws = re.findall(r"\w+", (t or "").lower())
-        held.update((" ".join(ws[i:j]), j - i) for i in range(len(ws)) for j in range(i + 1, len(ws) + 1))
-    got = {(r.gram, r.n): r.occurrences for r in llm.p6_ngrams_whole(spark, folder).collect()}
-    assert got == held and max(n for _, n in got) == 5
