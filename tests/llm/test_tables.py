@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from pressoir.llm import canonical, frequencies, metrics, mixing, packing
+from pressoir.llm import canonical, frequencies, metrics, mixing, packing, queries
 from pressoir.llm.tokens import FOLDER, VOCABULARY, encoding
 
 COUNTS = "document_id string, zone string, mot string, tf long, tf_idf double"
@@ -54,6 +54,24 @@ def test_most_distinctive_ties_and_repeats(spark):
     assert metrics.most_distinctive(metrics.distinctiveness(df.limit(0))).count() == 0
 
 
+def test_residuals_choose_terms(spark, tmp_path):
+    """A term in few records, most of it in another one: tf-idf takes it, the residuals take the term that is more than expected."""
+    tf = {("a", "eau"): 4, ("a", "air"): 3, ("b", "eau"): 40, ("c", "air"): 1, ("d", "air"): 1, ("d", "sel"): 2, ("e", "sel"): 2, ("f", "or"): 5}
+    spark.createDataFrame([(doc, "t", mot, k, None) for (doc, mot), k in tf.items()], COUNTS).write.parquet(f"{tmp_path}/token_metrics.parquet")
+    n = sum(tf.values())
+    r, c, d = Counter(), Counter(), Counter()
+    for (doc, mot), k in tf.items():
+        r[doc], c[mot], d[mot] = r[doc] + k, c[mot] + k, d[mot] + 1
+    best = defaultdict(list)
+    for (doc, mot), k in tf.items():
+        e = r[doc] * c[mot] / n
+        if d[mot] > 1 and k > e:
+            best[doc].append(((k - e) / math.sqrt(e * (1 - r[doc] / n) * (1 - c[mot] / n)), mot))
+    got = rows(queries.p2_distinctifs(spark, str(tmp_path)))
+    assert got == sorted((doc, max(of)[1]) for doc, of in best.items())
+    assert ("a", "air") in got and ("a", "eau") not in got and ("a", "eau") in rows(queries.p2_found(spark, str(tmp_path)))
+
+
 def test_hot_term_and_hot_record(spark):
     df = spark.createDataFrame([(f"d{i}", "t", "hot", 1, None) for i in range(600)] + [("d0", "t", f"m{i}", 1, None) for i in range(600)] + [("d1", "t", "m1", 1, None)], COUNTS)
     got = metrics.distinctiveness(df)
